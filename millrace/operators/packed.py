@@ -71,8 +71,8 @@ def _atoms(value: str, quote: str) -> list[tuple[int, int, str | None, str]]:
 def _body(value: str) -> tuple[str, bool]:
     v = value.strip()
     if len(v) > 1 and v[0] + v[-1] in ("[]", "{}"):
-        return v[1:-1], True
-    return value, False
+        return v[1:-1].strip(), True
+    return v, False
 
 
 def _merge(body: str, atoms: list[tuple[int, int, str | None, str]], delimiters: frozenset[str]) -> list[str]:
@@ -102,7 +102,7 @@ def parses(value: str) -> dict[str, list[str]]:
     """Every dialect that reads ``value`` in its own way, by name, with the items it gives; finest first."""
     out: dict[str, list[str]] = {}
     seen: set[tuple[str, ...]] = set()
-    bodies = [(value, False)]
+    bodies = [(value.strip(), False)]
     if (inner := _body(value))[1]:
         bodies.insert(0, inner)
     for body, bracketed in bodies:
@@ -121,7 +121,7 @@ def parses(value: str) -> dict[str, list[str]]:
 def parse(value: str, dialect: str) -> list[str]:
     """The items of ``value`` under a dialect of ``parses``."""
     bracket, quote, *delimiters = dialect.split("\x00")
-    body = _body(value)[0] if bracket else value
+    body = _body(value)[0] if bracket else value.strip()
     return _merge(body, _atoms(body, quote), frozenset(delimiters))
 
 
