@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.game_matching import match_games
 from millrace.llm.mixing import mix_sources
 from millrace.llm.sentences import sentence_ends
 from millrace.llm.survivors import surviving_values, usable_text, value_precedence, _field_rows
@@ -47,6 +48,15 @@ def p2_precedence(spark: SparkSession, d: str) -> DataFrame:
     return value_precedence(rows, GAME, DATE)
 
 
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Matching records with their confidence."""
+    return match_games(*(table(spark, d, t) for t in ("enriched_games_sample", "gamerpower_offers", "mmobomb_games")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_matches(spark, d).select("row_id", "source_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
 
@@ -63,5 +73,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_ends(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_survivors, p2_precedence, p8_ids, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_survivors, p2_precedence, p4_found, p4_matches, p8_ids, p9_mix, p9_shares, p10_found)}
 ORACLES: dict[str, str] = {}
