@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.naming import fresh
 from millrace.operators.latest import latest_per_key
 
 
@@ -21,7 +22,8 @@ def one_per_key(df: DataFrame, key: str, order: list[Column], null_is_a_key: boo
     if not null_is_a_key:
         return latest_per_key(df, [key], order, keep_null_keys=True)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    name = fresh("_rank", df)
+    return df.withColumn(name, rank).where(F.col(name) == 1).drop(name)
 
 
 def deduplicate(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -32,8 +34,9 @@ def deduplicate(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 def duplicate_counts(df: DataFrame, key: str) -> DataFrame:
     """One row: ``rows_before``, ``full_duplicates``, ``rows_distinct``, ``key_duplicates``, ``rows_after``."""
-    groups = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
-    by_key = groups.groupBy(key).agg(F.sum("_n").alias("_n"), F.count("*").alias("_distinct"))
+    n = fresh("_n", df)
+    groups = df.groupBy(*df.columns).agg(F.count("*").alias(n))
+    by_key = groups.groupBy(key).agg(F.sum(n).alias("_n"), F.count("*").alias("_distinct"))
     total = by_key.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("_distinct"), F.lit(0)).alias("rows_distinct"), F.count("*").alias("rows_after"))
     return total.select(
         "rows_before", (F.col("rows_before") - F.col("rows_distinct")).alias("full_duplicates"), "rows_distinct",

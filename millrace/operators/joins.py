@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.naming import fresh
+
 
 def select_prefixed(df: DataFrame, names: dict[str, str], key: str) -> DataFrame:
     """The key and the columns of ``names`` that exist, renamed; absent ones are passed over."""
@@ -20,20 +22,24 @@ def apply_overrides(df: DataFrame, overrides: DataFrame, title: str, key: str) -
     blank targets none. Rows of ``df`` are neither lost nor multiplied.
     """
     usable = overrides.where((F.coalesce("title", F.lit("")) != "") & (F.coalesce("target_key", F.lit("")) != ""))
-    last = usable.groupBy(F.col("title").alias("_title")).agg(F.max_by("target_key", "seq").alias("_target"))
-    joined = df.join(last, F.col(title) == F.col("_title"), "left")
-    return joined.withColumn(key, F.coalesce("_target", key)).select(*df.columns)
+    raw, target = fresh("_title", df), fresh("_target", df)
+    last = usable.groupBy(F.col("title").alias(raw)).agg(F.max_by("target_key", "seq").alias(target))
+    joined = df.join(last, F.col(title) == F.col(raw), "left")
+    return joined.withColumn(key, F.coalesce(target, key)).select(*df.columns)
 
 
 def coverage_join(base: DataFrame, source: DataFrame, key: str, found: str = "matched") -> DataFrame:
     """Left join on a derived key in which an empty or null key joins nothing; ``found`` says whether a row matched.
 
-    The source's columns follow the base's. Whether the smaller side is broadcast is left to its measured size.
+    The source's columns follow the base's; those of a name that the base has too are prefixed by ``found`` and an
+    underscore. Whether the smaller side is broadcast is left to its measured size.
     """
-    b = base.withColumn("_key", F.nullif(F.col(key), F.lit("")))
-    s = source.withColumn("_key", F.nullif(F.col(key), F.lit(""))).where("_key is not null").drop(key).withColumn("_found", F.lit(True))
-    joined = b.join(s, "_key", "left").withColumn(found, F.coalesce("_found", F.lit(False)))
-    return joined.drop("_key", "_found")
+    k, hit = fresh("_key", base, source), fresh("_found", base, source)
+    names = {c: f"{found}_{c}" if c in base.columns else c for c in source.columns if c != key}
+    b = base.withColumn(k, F.nullif(F.col(key), F.lit("")))
+    s = source.select(F.nullif(F.col(key), F.lit("")).alias(k), *(F.col(c).alias(n) for c, n in names.items()), F.lit(True).alias(hit)).where(F.col(k).isNotNull())
+    joined = b.join(s, k, "left").withColumn(found, F.coalesce(hit, F.lit(False)))
+    return joined.select(*base.columns, *names.values(), found)
 
 
 def coverage(joined: DataFrame, base_key: str, found: str = "matched") -> DataFrame:

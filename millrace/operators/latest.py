@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.naming import fresh
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], keep_null_keys: bool = False) -> DataFrame:
     """The first row of each key in ``order``, which should be total.
@@ -17,5 +19,6 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], keep_nul
     for k in keys:
         known = known & F.col(k).isNotNull()
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    best = df.where(known).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    name = fresh("_rank", df)
+    best = df.where(known).withColumn(name, rank).where(F.col(name) == 1).drop(name)
     return best.unionByName(df.where(~known)) if keep_null_keys else best

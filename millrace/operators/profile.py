@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.naming import fresh
 from millrace.functions.text import is_blank
 from millrace.operators.casts import strict_date
 
@@ -30,8 +31,9 @@ def blank_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """``rows``, ``rows_distinct``, ``duplicates``: pre-aggregated by whole row, nulls equal to each other."""
-    groups = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
-    out = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count("*").alias("rows_distinct"))
+    n = fresh("_n", df)
+    groups = df.groupBy(*df.columns).agg(F.count("*").alias(n))
+    out = groups.agg(F.coalesce(F.sum(n), F.lit(0)).alias("rows"), F.count("*").alias("rows_distinct"))
     return out.withColumn("duplicates", F.col("rows") - F.col("rows_distinct"))
 
 

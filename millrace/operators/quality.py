@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.naming import fresh
+
 
 def schema_difference(df: DataFrame, expected: list[str]) -> tuple[list[str], list[str]]:
     """(missing, extra) columns, sorted."""
@@ -38,9 +40,10 @@ def quality_score(before: DataFrame, after: DataFrame, key: str, critical: list[
     twice); typing is the share of ``types`` that its columns have; resolution is how many of the problems found before
     (full duplicates and nulls) are gone. Components are rounded before they are averaged; empty tables score 100.
     """
-    groups = before.groupBy(*before.columns).agg(F.count("*").alias("_n"))
+    n = fresh("_n", before)
+    groups = before.groupBy(*before.columns).agg(F.count("*").alias(n))
     nulls = sum((F.col(c).isNull().cast("int") for c in before.columns), F.lit(0))
-    was = groups.agg((F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)) + F.coalesce(F.sum(nulls * F.col("_n")), F.lit(0))).alias("found"))
+    was = groups.agg((F.coalesce(F.sum(F.col(n) - 1), F.lit(0)) + F.coalesce(F.sum(nulls * F.col(n)), F.lit(0))).alias("found"))
     rows = after.agg(F.count("*").alias("rows"))
     left = final_checks(after, key, critical, types)
     typed = sum((F.col(f"{c}_typed").cast("int") for c in types), F.lit(0))
