@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from millrace.functions.missing import is_stand_in, stands_for_missing
 from millrace.operators.skew import join_large_small
+from millrace.session import cut
 
 # What may stand between two values of a field.
 DELIMITERS = (",", ";", "|", "/", "&", "+", "·", "•", "、", "，", "；", "\n", "\r\n", "\r", "\t", " and ")
@@ -159,7 +160,9 @@ def choose_dialects(values: DataFrame) -> DataFrame:
     values in one pre-aggregated shuffle. Equal lengths go to the parse of more items.
     """
     schema = "value string, dialect string, n_items int, share_bits double, item string, first int, spelling double"
-    cand = values.select("value").mapInPandas(_candidates, schema)
+    # few bytes and much work: spread over all cores, and written once for the counts and the scores
+    spread = values.select("value").repartition(2 * values.sparkSession.sparkContext.defaultParallelism)
+    cand = cut(spread.mapInPandas(_candidates, schema))
     codes = cand.groupBy("item").agg(F.sum("first").alias("n"), F.first("spelling").alias("spelling"))
     total = max(1, codes.agg(F.sum("n").alias("n")).first()["n"] or 0)
     codes = codes.select("item", "n", (F.lit(math.log2(total)) - F.log2("n") + F.col("spelling") / F.col("n")).alias("code_bits"))
@@ -190,9 +193,9 @@ def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
         .select(key, "p.field_name", "p.value")
         .where(F.col("value").rlike(CANDIDATE) & ~is_stand_in(F.col("value")))
     )
-    values = long.groupBy("value").agg(F.count("*").alias("n"))
-    total = max(1, long.count())
-    parsed = (
+    values = cut(long.groupBy("value").agg(F.count("*").alias("n")))
+    total = max(1, values.agg(F.sum("n").alias("n")).first()["n"] or 0)
+    parsed = cut(
         choose_dialects(values)
         .withColumn("items", _names("value", "dialect"))
         .where(F.size("items") > 1)
