@@ -32,6 +32,19 @@ _QUOTED = {
     for q in ('"', "'")
 }
 _MODES = ("", '"', "'")
+#: A stand-in that holds a delimiter of its own is one value.
+_WHOLE = re.compile(rf"\s*(?i:n/a)\.?[^\S\n\r\t]*(?={_ANY}|\s*\Z)")
+
+
+def _closing(value: str) -> dict[int, int]:
+    """Where each round bracket that opens is closed."""
+    opened, out = [], {}
+    for i, c in enumerate(value):
+        if c == "(":
+            opened.append(i)
+        elif c == ")" and opened:
+            out[opened.pop()] = i
+    return out
 
 
 def _unescape(body: str, quote: str) -> str:
@@ -43,20 +56,18 @@ def _atoms(value: str, quote: str) -> list[tuple[int, int, str | None, str]]:
     out, start, at, n = [], 0, 0, len(value)
     text: str | None = None
     fresh = True
+    closing = _closing(value) if "(" in value else {}
     while at <= n:
-        if fresh and quote and (m := _QUOTED[quote].match(value, at)):
+        if fresh and (m := _WHOLE.match(value, at)):
+            at = m.end()
+        elif fresh and quote and (m := _QUOTED[quote].match(value, at)):
             text, at = _unescape(m[1], quote), m.end()
         fresh = False
         if at == n:
             out.append((start, n, text, ""))
             break
         if value[at] == "(":
-            depth, end = 0, at
-            for end in range(at, n):  # noqa: B007
-                depth += (value[end] == "(") - (value[end] == ")")
-                if depth == 0:
-                    break
-            at = end + 1 if depth == 0 else at + 1  # a bracket that never closes protects nothing
+            at = closing.get(at, at) + 1  # a bracket that never closes protects nothing
             text = None
             continue
         if m := _DELIMITER.match(value, at):
