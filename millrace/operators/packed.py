@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -152,38 +153,38 @@ def _names(value: pd.Series, dialect: pd.Series) -> pd.Series:
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for value in b["value"]:
+        for number, value in zip(b["number"], b["value"], strict=True):
             known: set[str] = set()
             for dialect, items in parses(value).items():
-                delimiters = dialect.split("\x00")[2:]
-                overhead = math.log2(len(DELIMITERS)) * (len(delimiters) + max(0, len(items) - 1)) + 2
-                for item in items or [""]:
-                    rows.append((value, dialect, len(items), overhead / max(1, len(items)), item, int(item not in known), spelling_bits(item)))
+                kinds = len(dialect.split("\x00")) - 2
+                overhead = math.log2(len(DELIMITERS)) * (kinds + max(0, len(items) - 1)) + 2
+                for item, times in Counter(items or [""]).items():
+                    rows.append((number, dialect, len(items), overhead, item, times, int(item not in known), spelling_bits(item)))
                     known.add(item)
-        yield pd.DataFrame(rows, columns=["value", "dialect", "n_items", "share_bits", "item", "first", "spelling"])
+        yield pd.DataFrame(rows, columns=["number", "dialect", "n_items", "overhead", "item", "times", "first", "spelling"])
 
 
 def choose_dialects(values: DataFrame) -> DataFrame:
-    """For distinct ``value`` the ``dialect`` of least description length, with its ``bits``.
+    """For distinct ``value``, each with a ``number`` of its own, the ``dialect`` of least description length: ``number``, ``dialect``, ``bits``.
 
     An item's code length is -log2 of its share among the items that the parses of all values offer, each
     value counting once, and its spelling shared among the values that use it. Both are counted over all
     values in one pre-aggregated shuffle. Equal lengths go to the parse of more items.
     """
-    schema = "value string, dialect string, n_items int, share_bits double, item string, first int, spelling double"
+    schema = "number bigint, dialect string, n_items int, overhead double, item string, times int, first int, spelling double"
     # few bytes and much work: spread over all cores, and written once for the counts and the scores
-    spread = values.select("value").repartition(2 * values.sparkSession.sparkContext.defaultParallelism)
+    spread = values.select("number", "value").repartition(2 * values.sparkSession.sparkContext.defaultParallelism)
     cand = cut(spread.mapInPandas(_candidates, schema))
     codes = cand.groupBy("item").agg(F.sum("first").alias("n"), F.first("spelling").alias("spelling"))
     total = max(1, codes.agg(F.sum("n").alias("n")).first()["n"] or 0)
     codes = codes.select("item", "n", (F.lit(math.log2(total)) - F.log2("n") + F.col("spelling") / F.col("n")).alias("code_bits"))
     scored = (
         join_large_small(cand.drop("spelling", "first"), codes, "item", count="n", total=total)
-        .groupBy("value", "dialect")
-        .agg(F.sum(F.col("code_bits") + F.col("share_bits")).alias("bits"), F.first("n_items").alias("n_items"))
+        .groupBy("number", "dialect")
+        .agg((F.sum(F.col("code_bits") * F.col("times")) + F.first("overhead")).alias("bits"), F.first("n_items").alias("n_items"))
     )
-    best = scored.groupBy("value").agg(F.min(F.struct(F.round("bits", 6).alias("bits"), -F.col("n_items"), "dialect")).alias("best"))
-    return best.select("value", "best.dialect", "best.bits")
+    best = scored.groupBy("number").agg(F.min(F.struct(F.round("bits", 6).alias("bits"), -F.col("n_items"), "dialect")).alias("best"))
+    return best.select("number", "best.dialect", "best.bits")
 
 
 def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -204,13 +205,13 @@ def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
         .select(key, "p.field_name", "p.value")
         .where(F.col("value").rlike(CANDIDATE) & ~is_stand_in(F.col("value")))
     )
-    values = cut(long.groupBy("value").agg(F.count("*").alias("n")))
+    values = cut(long.groupBy("value").agg(F.count("*").alias("n")).withColumn("number", F.monotonically_increasing_id()))
     total = max(1, values.agg(F.sum("n").alias("n")).first()["n"] or 0)
     parsed = cut(
         choose_dialects(values)
+        .join(values, "number")
         .withColumn("items", _names("value", "dialect"))
         .where(F.size("items") > 1)
-        .join(values, "value")
         .select("value", "items", "n")
     )
     return (
