@@ -111,15 +111,15 @@ def assign(edges: DataFrame, left: str, right: str, confidence: str, step: float
     for _ in range(rounds):
         open_edges = contested
         if held is not None:
-            open_edges = contested.join(held.select(left), left, "left_anti").join(held.select(right, "price"), right, "left")
+            open_edges = contested.join(held.select(left), left, "left_anti").join(held.select(right, "_price"), right, "left")
         else:
-            open_edges = open_edges.withColumn("price", F.lit(0.0))
-        profit = (F.col(confidence) - F.coalesce(F.col("price"), F.lit(0.0))).alias("profit")
-        offers = open_edges.select(left, right, F.coalesce(F.col("price"), F.lit(0.0)).alias("price"), profit).where("profit > 0")
-        ranked = offers.groupBy(left).agg(F.max(F.struct("profit", (-F.col(right)).alias("r"), "price")).alias("best"), F.sort_array(F.collect_list("profit"), asc=False).alias("all"))
-        lead = F.col("best.profit") - F.coalesce(F.get(F.col("all"), 1), F.lit(0.0))
-        bids = ranked.select(left, (-F.col("best.r")).alias(right), (F.col("best.price") + lead + step).alias("price"))
-        won = bids.groupBy(right).agg(F.max(F.struct("price", (-F.col(left)).alias("l"))).alias("w")).select(right, (-F.col("w.l")).alias(left), F.col("w.price").alias("price"))
+            open_edges = open_edges.withColumn("_price", F.lit(0.0))
+        profit = (F.col(confidence) - F.coalesce(F.col("_price"), F.lit(0.0))).alias("_profit")
+        offers = open_edges.select(left, right, F.coalesce(F.col("_price"), F.lit(0.0)).alias("_price"), profit).where("_profit > 0")
+        ranked = offers.groupBy(left).agg(F.max(F.struct("_profit", (-F.col(right)).alias("r"), "_price")).alias("_best"), F.sort_array(F.collect_list("_profit"), asc=False).alias("_all"))
+        lead = F.col("_best._profit") - F.coalesce(F.get(F.col("_all"), 1), F.lit(0.0))
+        bids = ranked.select(left, (-F.col("_best.r")).alias(right), (F.col("_best._price") + lead + step).alias("_price"))
+        won = bids.groupBy(right).agg(F.max(F.struct("_price", (-F.col(left)).alias("l"))).alias("_w")).select(right, (-F.col("_w.l")).alias(left), F.col("_w._price").alias("_price"))
         won = cut(won)
         if won.isEmpty():
             break
@@ -128,6 +128,6 @@ def assign(edges: DataFrame, left: str, right: str, confidence: str, step: float
     if held is not None:
         chosen = chosen.unionByName(contested.join(held.select(left, right), [left, right]))
     rest = contested.join(chosen.select(left), left, "left_anti").join(chosen.select(right), right, "left_anti")
-    best = rest.groupBy(left).agg(F.max(F.struct(confidence, (-F.col(right)).alias("r"))).alias("b")).select(left, (-F.col("b.r")).alias(right), F.col(f"b.{confidence}").alias(confidence))
-    best = best.groupBy(right).agg(F.max(F.struct(confidence, (-F.col(left)).alias("l"))).alias("b")).select((-F.col("b.l")).alias(left), right, F.col(f"b.{confidence}").alias(confidence))
+    best = rest.groupBy(left).agg(F.max(F.struct(confidence, (-F.col(right)).alias("r"))).alias("_b")).select(left, (-F.col("_b.r")).alias(right), F.col(f"_b.{confidence}").alias(confidence))
+    best = best.groupBy(right).agg(F.max(F.struct(confidence, (-F.col(left)).alias("l"))).alias("_b")).select((-F.col("_b.l")).alias(left), right, F.col(f"_b.{confidence}").alias(confidence))
     return chosen.unionByName(best.select(left, right, confidence))

@@ -32,7 +32,7 @@ def source_budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     have = have.withColumn("_share", F.when(usable, F.col("target_share")) / F.sum(F.when(usable, F.col("target_share"))).over(whole))
     have = have.withColumn("_total", F.min(F.col("available") * F.col("max_repeats") / F.col("_share")).over(whole))
     budget = F.least(F.round(F.col("_share") * F.col("_total")).cast("long"), F.col("available") * F.col("max_repeats"))
-    have = have.withColumn("budget", F.coalesce(budget, F.lit(0).cast("long")))
+    have = have.withColumn("budget", F.when(F.col("_share").isNotNull(), budget).otherwise(F.lit(0).cast("long")))
     epochs = F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(0).cast("int")
     return have.withColumn("epochs", epochs).select(
         "source", "target_share", "max_repeats", "available", "budget", "epochs", (F.col("budget") - F.col("epochs") * F.col("available")).alias("rest")
