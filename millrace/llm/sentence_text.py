@@ -25,13 +25,35 @@ BEFORE_NUMBER = frozenset("no nr núm num nº n fl p pp pg pág vol sec ch art c
 # Words whose full stop ends a sentence if the next word begins one.
 EITHER = frozenset("etc a.m p.m am pm b.c a.d co inc ltd corp jr al usw m v.chr n.chr д п э г ч др".split())
 
+
+def _misread(word: str) -> str:
+    """A word in which letters that scanners take for each other are one."""
+    return word.translate(_ALIKE).replace("rn", "m").replace("vv", "w")
+
+
+_ALIKE = str.maketrans("f015|", "tolsl")
+_ALL = {w: kind for kind, words in (("either", EITHER), ("number", BEFORE_NUMBER), ("never", NEVER)) for w in words}
+_ALL_MISREAD = {_misread(w): kind for w, kind in _ALL.items() if len(w) > 1}
+
+
+def _abbreviation(word: str) -> str:
+    """"never", "number" or "either" of an abbreviation, be it damaged; else ""."""
+    kind = _ALL.get(word)
+    if kind is None and len(word) > 1:
+        kind = _ALL_MISREAD.get(_misread(word), "")
+        if not kind and "\ufffd" in word:
+            shape = re.compile(re.escape(word).replace("\ufffd", "."))
+            kind = next((k for w, k in _ALL.items() if shape.fullmatch(w)), "")
+    return kind or ""
+
+
 # What Windows-1252 makes of the bytes 80 to 9F, and where that leaves nothing, Latin-1.
 _CP1252 = {ord(bytes([b]).decode("cp1252")): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 _CP1251 = {b: ord(bytes([b]).decode("cp1251")) for b in range(0x80, 0x100) if b != 0x98}
 _LEADS = re.compile(r"[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
 _UTF8 = re.compile(r"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
-_LATIN_ONLY = re.compile(r"[A-Za-z]")
-_HIGH = re.compile(r"[À-ÿ]")
+#: So many accented letters in a row are no Latin script's.
+_FOREIGN = re.compile(r"[À-ÿ¸¨]{3,}")
 
 
 def _decoded(text: str, places: list[int] | None) -> tuple[str, list[int]] | None:
@@ -64,10 +86,7 @@ def repaired(text: str) -> tuple[str, list[int] | None]:
         if not _LEADS.search(text) or (better := _decoded(text, places)) is None:
             break
         text, places = better
-    if len(text) - len(text.encode("ascii", "ignore")) < len(text) // 5:
-        return text, places
-    high = len(_HIGH.findall(text))
-    if high > 20 and high > 2 * len(_LATIN_ONLY.findall(text)):  # Cyrillic bytes read as Latin letters, one for one
+    if _FOREIGN.search(text) and len(_FOREIGN.findall(text)) > 2:  # Cyrillic bytes read as Latin letters, one for one
         text = text.translate(_CP1251)
     return text, places
 
@@ -380,7 +399,7 @@ def _sentences(s: str) -> list[int]:
                 start = m.end()
         else:
             n = skip(s, i).end()
-            if n < n_all and s[n] not in "かねよとの、。？！…\x03" and _JA_FINAL.search(s[max(start, i - 12) : i].translate(_UNBROKEN)):
+            if n < n_all and s[n] not in "かねよとの、。？！…\x03" and _JA_FINAL.search(s[max(start, i - 240) : i].translate(_UNBROKEN)[-9:]):
                 ends.append(start + _last(s[start:i]))
                 start = n
     end = _last(s[start:])
@@ -411,6 +430,8 @@ def _ends(s: str, start: int, i: int, run: str, k: int, n: int, inside: bool, op
     if inside and k > i + len(run):  # stops within a quotation that closes here
         if nxt in ("l", ",") or (nxt == "-" and s[n] != "-"):
             return False
+        if s[n] == "と" and n == k:
+            return False  # what was said, with its particle
         body = s[opened + 1 : i]
         if _CASELESS.search(body) or (nxt == "c"):
             if _LEADING.match(s, start).end() >= opened:
@@ -430,19 +451,20 @@ def _ends(s: str, start: int, i: int, run: str, k: int, n: int, inside: bool, op
     if nxt == ",":
         return False
     word = m[0] if (m := _WORD.search(s, max(start, i - 16), i)) else ""
-    low = word.lower().replace("rn", "m") if word else ""
+    low = word.lower()
     if nxt == "l":
         return False
-    if low in BEFORE_NUMBER and nxt == "D":
-        return False
-    if nxt in ("U", "l") and word.isdigit() and _MONTH.match(s, n):
+    if nxt == "U" and word.isdigit() and _MONTH.match(s, n):
         return False
+    kind = _abbreviation(low) if len(low) < 8 else ""
+    if kind == "number":
+        return nxt != "D"
     if len(word) == 1 and word.isupper() and nxt == "U" and not _CASELESS.match(word):
         return False
     if low == "m":  # Monsieur, or the second half of p. m.
         before = s[max(start, i - 50) : i - 1].rstrip(_BLANKS)
         return word != "M" and before.endswith(("p.", "a."))
-    return low in EITHER or low not in NEVER
+    return kind != "never"
 
 
 def _thai_break(s: str, start: int, i: int, n: int) -> bool:

@@ -31,6 +31,8 @@ CASES = [
     (srt('"Run!" she said, and Kala did. "Stay here," said Bo, "and\nhide." Fine.'), ["did.", 'hide."', "Fine."]),
     (srt('"Is it Fenma?" he asked. "Or the vault?"'), ["asked.", 'vault?"']),
     (srt("- Fine, right?\n- No. 7 is locked", "[door creaks]", "(sighs) We open at 9 a.m. Mr. Bo left at 9", "a.m. sharp, etc."), ["right?", "locked", "creaks]", "9 a.m.", "etc."]),
+    (srt("Si vuelve, está en la caja n\ufffdm. 5, creo. 5gt. Bo and Sgf. Ko left."), ["creo.", "left."]),
+    (srt("「もう遅い」と言いまし", "た", "「逃げろ！」とBoが叫んだ"), ["た", "んだ"]),
     (srt("J. T. Kaqui of the U.N.K. sector won approx. 5 rounds. It was 2 B.C. when they came."), ["rounds.", "came."]),
     (srt("Subtitles by the Hilzala crew!\nFind more at x.example", "Check www.x.example before you go."), ["crew!", "x.example", "go."]),
     (srt("♪ Sgt. Wa moves at dawn. ♪\n♪ No stop here ♪", "<i>Fine.</i>"), ["dawn.", "here", "Fine."]),
