@@ -32,19 +32,39 @@ def _misread(word: str) -> str:
 
 
 _ALIKE = str.maketrans("f015|", "tolsl")
+def _trie(words: dict[str, str]) -> dict:
+    """Words with their kinds as a trie from their last letter on, since a stop is met from behind."""
+    root: dict = {}
+    for word, kind in words.items():
+        node = root
+        for c in reversed(word):
+            node = node.setdefault(c, {})
+        node[""] = kind
+    return root
+
+
 _ALL = {w: kind for kind, words in (("either", EITHER), ("number", BEFORE_NUMBER), ("never", NEVER)) for w in words}
-_ALL_MISREAD = {_misread(w): kind for w, kind in _ALL.items() if len(w) > 1}
+_TRIE = _trie(_ALL)
+_TRIE_MISREAD = _trie({_misread(w): kind for w, kind in _ALL.items() if len(w) > 1})
+
+
+def _walk(node: dict, word: str) -> str:
+    for c in reversed(word):
+        node = node.get(c)
+        if node is None:
+            return ""
+    return node.get("", "")
 
 
 def _abbreviation(word: str) -> str:
     """"never", "number" or "either" of an abbreviation, be it damaged; else ""."""
-    kind = _ALL.get(word)
-    if kind is None and len(word) > 1:
-        kind = _ALL_MISREAD.get(_misread(word), "")
+    kind = _walk(_TRIE, word)
+    if not kind and len(word) > 1:
+        kind = _walk(_TRIE_MISREAD, _misread(word))
         if not kind and "\ufffd" in word:
             shape = re.compile(re.escape(word).replace("\ufffd", "."))
             kind = next((k for w, k in _ALL.items() if shape.fullmatch(w)), "")
-    return kind or ""
+    return kind
 
 
 # What Windows-1252 makes of the bytes 80 to 9F, and where that leaves nothing, Latin-1.
@@ -240,7 +260,7 @@ _ANY = re.compile(
     + r"|(?<=[฀-๿\"”])[ \n\x01\x02\r]+(?=[^ \n\x01\x02\r\x03])|(?<=[るただすいんかねよう])[ \r\x02]*[\n\x01]"
 )
 _SKIP = re.compile(r"[\s\x01\x02]*")
-_WORD = re.compile(r"[^\s\x01\x02\x03\"“”„«»‹›「」『』()\[\]（）¿¡,;:|]+\Z")
+_EDGES = frozenset(_BLANKS + "\"“”„«»‹›「」『』()[]（）¿¡,;:|")
 _OPENS = {"«": "»", "„": "“", "「": "」", "『": "』", "〝": "〞", "‹": "›", "[": "]", "(": ")", "（": "）", "［": "］", "【": "】"}
 _BRACKETS = frozenset("])）］】")
 _CLOSERS = frozenset("\"“”»«」』〞›‹’'")
@@ -450,7 +470,12 @@ def _ends(s: str, start: int, i: int, run: str, k: int, n: int, inside: bool, op
         return False  # within a number, name or address
     if nxt == ",":
         return False
-    word = m[0] if (m := _WORD.search(s, max(start, i - 16), i)) else ""
+    k0, least = i, max(start, i - 16)
+    while k0 > least and s[k0 - 1] not in _EDGES:
+        k0 -= 1
+    word = s[k0:i]
+    if k0 == start and len(word) < 3 and word.isdigit() and s[start - 1 : start] in ("", "\n", "\r", GAP, TURN, HIDE):
+        return False  # the number of a list's item
     low = word.lower()
     if nxt == "l":
         return False
