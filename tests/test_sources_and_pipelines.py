@@ -130,3 +130,14 @@ def test_pipelines(spark, tmp_path):
     assert final[2]["mmobomb_id"] == 20 and final[2]["genre_match"] is True and final[2]["publisher_match"] is False
     assert "lineage" in (tmp_path / "out" / "report" / "enrichment.txt").read_text().lower()
     assert enrich.run(spark, str(tmp_path / "nowhere"), out, "", "", "", get).code == 1
+
+
+def test_command_line(spark, tmp_path):
+    from millrace.plans.cli import main
+
+    source = write(tmp_path / "games.json", GAMES)
+    assert main(["ingest", source, str(tmp_path / "lake"), "--files"]) == 0
+    assert main(["clean", str(tmp_path / "lake" / "store"), str(tmp_path / "out")]) == 0
+    assert main(["clean", str(tmp_path / "nowhere"), str(tmp_path / "out")]) == 1
+    with pytest.raises(SystemExit):
+        main(["unknown"])
