@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.game_matching import match_games
 from millrace.llm.matching import assign, neighbours, title_similarity
-from millrace.llm.survivors import surviving_values, usable_text, value_levels, value_precedence
+from millrace.llm.survivors import overtaken_values, surviving_values, usable_text, value_levels, value_precedence
 from millrace.llm.titles import company_form, title_forms
 
 ROWS = "g string, row_id bigint, at string, status string, value string"
@@ -53,6 +53,22 @@ def test_learned_precedence_orders_undated_rows(spark):
     assert surviving_values(df.limit(0), "g", "row_id", "at", {"status": usable_text(F.col("status"))}, True).count() == 0
 
 
+def test_precedence_that_goes_round_is_decided_by_support(spark):
+    steps = [("A", "B", 5), ("B", "C", 4), ("C", "A", 3), ("C", "X", 2), ("X", "Y", 2)]
+    dated = [(f"{a}{b}{i}", 100 * k + 10 * i + j, f"2020-0{j + 1}-01", v, "") for k, (a, b, n) in enumerate(steps) for i in range(n) for j, v in enumerate((a, b))]
+    undated = [(g, 1000 + 10 * k + i, None, v, "") for k, (g, values) in enumerate({"round": "ABC", "two": "AB", "behind": "XY", "all": "ABCXY", "apart": "AY"}.items()) for i, v in enumerate(values)]
+    found = surviving_values(spark.createDataFrame(dated + undated, ROWS), "g", "row_id", "at", {"status": usable_text(F.col("status"))}, True)
+    got = {x["group_row_id"]: x["value"] for x in found.where("group_row_id >= 1000").collect()}
+    assert got == {1000: "C", 1010: "B", 1020: "Y", 1030: "Y", 1040: "A"}  # A and Y never met: the smaller row_id
+
+
+def test_groups_of_many_values_are_ordered(spark):
+    pairs = spark.createDataFrame([("f", f"v{i:03d}", f"v{i + 1:03d}", 2, 0) for i in range(99)], "field_name string, earlier string, later string, n_forward bigint, n_back bigint")
+    own = spark.createDataFrame([(g, "f", f"v{i:03d}") for g, n in (("many", 100), ("few", 5)) for i in range(n)], "g string, field_name string, value string")
+    gone = {(r["g"], r["value"]) for r in overtaken_values(own, pairs, "g").collect()}
+    assert gone == {("many", f"v{i:03d}") for i in range(99)} | {("few", f"v{i:03d}") for i in range(4)}
+
+
 def test_neighbours_meet_across_partitions(spark):
     left = spark.range(500).select(F.struct("id").alias("e"), F.array(F.format_string("%05d", "id")).alias("orders"))
     right = spark.range(500).select(F.struct("id").alias("e"), F.array(F.format_string("%05d", "id")).alias("orders"))
