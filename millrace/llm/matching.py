@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ WINDOW = 12
 EDIT_SHARE, MOST_EDITS = 0.2, 4
 #: Least confidence of a match by whole titles, and by a shortened title whose day is not known.
 LEAST, LEAST_SHORTENED = 0.45, 0.75
+#: Edges up to which a connected part of the graph is assigned by one task.
+LOCAL = 2000
 #: Weights of the field similarities.
 WEIGHTS = {"title": 0.55, "publisher": 0.15, "developer": 0.15, "day": 0.1, "genre": 0.05}
 
@@ -90,28 +95,70 @@ def weighted(similarities: dict[str, Column]) -> Column:
     return sum((F.coalesce(s, F.lit(0.0)) * WEIGHTS[k] for k, s in similarities.items()), F.lit(0.0)) / total
 
 
-def assign(edges: DataFrame, left: str, right: str, confidence: str, step: float = 0.002, rounds: int = 40) -> DataFrame:
-    """A one-to-one choice of ``edges`` whose total ``confidence`` is largest, within ``step`` for each match, by an auction.
+def components(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """``left`` and ``_part``, the smallest left end of its connected part: smallest labels spread and jump until none changes."""
+    ends = edges.select(left, right)
+    labels = ends.select(left, F.col(left).alias("_part")).distinct()
+    while True:
+        spread = ends.join(labels, left).groupBy(right).agg(F.min("_part").alias("_part"))
+        spread = cut(ends.join(spread, right).groupBy(left).agg(F.min("_part").alias("_part")))
+        jump = spread.select(F.col(left).alias("_part"), F.col("_part").alias("_next"))
+        after = cut(spread.join(jump, "_part").select(left, F.col("_next").alias("_part")).join(labels.withColumnRenamed("_part", "_was"), left))
+        if after.where("_part <> _was").isEmpty():
+            return after.select(left, "_part")
+        labels = after.select(left, "_part")
 
-    Edges whose both ends have no other edge are taken at once. Of the rest, each unassigned left end bids for the right
-    end of best confidence less price, and raises its price by its lead over its second choice and ``step``; the highest
-    bid takes it. All bids of a round are one aggregation, so no component of the graph is ever gathered in a task. The
-    auction ends when nobody bids; after ``rounds`` rounds those left take what is free in order of confidence.
 
-    Ties fall to the smaller ends. An empty table gives an empty result.
+def best_pairs(edges: list[tuple]) -> list[tuple]:
+    """The pairs (left, right, weight) of ``edges`` that make the largest total one to one, by shortest augmenting paths.
+
+    Every left end may also stay alone at weight 0; ties fall to the smaller ends.
+    """
+    weights: dict = {}
+    for a, b, w in edges:
+        weights.setdefault(a, {})[(0, b)] = w
+    price: dict = {}
+    holder: dict = {}
+    for first in sorted(weights):
+        weights[first][(1, first)] = 0.0  # alone
+        far = {b: -w - price.get(b, 0.0) for b, w in weights[first].items()}
+        via, done = dict.fromkeys(far, None), {}
+        heap = [(d, b) for b, d in far.items()]
+        heapq.heapify(heap)
+        while True:
+            d, b = heapq.heappop(heap)
+            if b in done:
+                continue
+            done[b] = d
+            if b not in holder:
+                break
+            own = weights[holder[b]]
+            base = d + own[b] + price.get(b, 0.0)
+            for c, w in own.items():
+                if c not in done and (to := base - w - price.get(c, 0.0)) < far.get(c, float("inf")):
+                    far[c], via[c] = to, b
+                    heapq.heappush(heap, (to, c))
+        for c, at in done.items():
+            price[c] = price.get(c, 0.0) + at - d
+        while via[b] is not None:
+            holder[b] = holder[via[b]]
+            b = via[b]
+        holder[b] = first
+    return [(a, b, weights[a][(k, b)]) for (k, b), a in holder.items() if k == 0]
+
+
+def auction(edges: DataFrame, left: str, right: str, confidence: str, step: float) -> DataFrame:
+    """A one-to-one choice of ``edges`` by bids, until nobody bids: its total is largest within ``step`` for each match.
+
+    Each unassigned left end bids for the right end of best confidence less price, and raises its price by its lead over
+    its second choice and ``step``; the highest bid takes it. All bids of a round are one aggregation. Every round
+    raises a price by ``step`` at least and nobody bids above their confidence, so it ends.
     """
-    edges = cut(edges.select(left, right, confidence))
-    alone = edges.groupBy(left).agg(F.count("*").alias("_nl")).where("_nl = 1").drop("_nl")
-    single = edges.groupBy(right).agg(F.count("*").alias("_nr")).where("_nr = 1").drop("_nr")
-    plain = edges.join(alone, left, "left_semi").join(single, right, "left_semi")
-    contested = cut(edges.join(plain.select(left), left, "left_anti"))
-    if contested.isEmpty():
-        return plain
     held: DataFrame | None = None  # right, left, price
-    for _ in range(rounds):
-        open_edges = contested
+    while True:
+        open_edges = edges
         if held is not None:
-            open_edges = contested.join(held.select(left), left, "left_anti").join(held.select(right, "_price"), right, "left")
+            open_edges = edges.join(held.select(left), left, "left_anti").join(held.select(right, "_price"), right, "left")
         else:
             open_edges = open_edges.withColumn("_price", F.lit(0.0))
         profit = (F.col(confidence) - F.coalesce(F.col("_price"), F.lit(0.0))).alias("_profit")
@@ -124,10 +171,31 @@ def assign(edges: DataFrame, left: str, right: str, confidence: str, step: float
         if won.isEmpty():
             break
         held = cut(won if held is None else held.join(won.select(right), right, "left_anti").unionByName(won))
-    chosen = plain
-    if held is not None:
-        chosen = chosen.unionByName(contested.join(held.select(left, right), [left, right]))
-    rest = contested.join(chosen.select(left), left, "left_anti").join(chosen.select(right), right, "left_anti")
-    best = rest.groupBy(left).agg(F.max(F.struct(confidence, (-F.col(right)).alias("r"))).alias("_b")).select(left, (-F.col("_b.r")).alias(right), F.col(f"_b.{confidence}").alias(confidence))
-    best = best.groupBy(right).agg(F.max(F.struct(confidence, (-F.col(left)).alias("l"))).alias("_b")).select((-F.col("_b.l")).alias(left), right, F.col(f"_b.{confidence}").alias(confidence))
-    return chosen.unionByName(best.select(left, right, confidence))
+    return edges.limit(0) if held is None else edges.join(held.select(left, right), [left, right])
+
+
+def assign(edges: DataFrame, left: str, right: str, confidence: str, step: float = 0.002, local: int = LOCAL) -> DataFrame:
+    """A one-to-one choice of ``edges`` whose total ``confidence`` is largest, in large parts within ``step`` for each match.
+
+    Edges whose both ends have no other edge are taken at once. Of the rest, each connected part of up to ``local``
+    edges is assigned exactly by one task; larger parts are never gathered in a task, but go to an auction.
+
+    Ties fall to the smaller ends. An empty table gives an empty result.
+    """
+    edges = cut(edges.select(left, right, confidence))
+    alone = edges.groupBy(left).agg(F.count("*").alias("_nl")).where("_nl = 1").drop("_nl")
+    single = edges.groupBy(right).agg(F.count("*").alias("_nr")).where("_nr = 1").drop("_nr")
+    plain = edges.join(alone, left, "left_semi").join(single, right, "left_semi")
+    contested = cut(edges.join(plain.select(left), left, "left_anti"))
+    if contested.isEmpty():
+        return plain
+    parted = cut(contested.join(components(contested, left, right), left))
+    large = cut(parted.groupBy("_part").agg(F.count("*").alias("_n")).where(F.col("_n") > local).select("_part"))
+
+    def assigned(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(best_pairs(list(zip(part[left], part[right], part[confidence], strict=True))), columns=[left, right, confidence])
+
+    chosen = plain.unionByName(parted.join(large, "_part", "left_anti").groupBy("_part").applyInPandas(assigned, contested.schema))
+    if large.isEmpty():
+        return chosen
+    return chosen.unionByName(auction(parted.join(large, "_part", "left_semi").select(left, right, confidence), left, right, confidence, step))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm.game_matching import match_games
-from millrace.llm.matching import assign, neighbours, title_similarity
+from millrace.llm.matching import assign, best_pairs, components, neighbours, title_similarity
 from millrace.llm.survivors import overtaken_values, surviving_values, usable_text, value_levels, value_precedence
 from millrace.llm.titles import company_form, title_forms
 
@@ -89,6 +89,39 @@ def test_assignment_is_near_the_best(spark, seed):
     assert assign(spark.createDataFrame([], "a int, b int, c double"), "a", "b", "c").count() == 0
 
 
+WAR = {(1, 10): 0.60, (1, 11): 0.60, (2, 10): 0.95, (2, 11): 0.93, (3, 10): 0.93, (3, 11): 0.95}
+
+
+def test_assignment_of_more_left_than_right_ends(spark):
+    got = {(x["a"], x["b"]) for x in assign(spark.createDataFrame([(a, b, c) for (a, b), c in WAR.items()], "a int, b int, c double"), "a", "b", "c").collect()}
+    assert got == {(2, 10), (3, 11)}
+
+
+def test_auction_of_large_parts_goes_on_until_nobody_bids(spark):
+    edges = spark.createDataFrame([(a, b, c) for (a, b), c in WAR.items()], "a int, b int, c double").coalesce(1)
+    assert {(x["a"], x["b"]) for x in assign(edges, "a", "b", "c", step=0.02, local=1).collect()} == {(2, 10), (3, 11)}
+
+
+def test_best_pairs_against_brute_force():
+    r = random.Random(5)
+    for _ in range(300):
+        n, m = r.randint(1, 6), r.randint(1, 4)
+        w = {(i, j): r.choice([r.random(), 0.5, 0.9]) for i in range(n) for j in range(m) if r.random() < 0.7}
+
+        def best(i: int, free: frozenset) -> float:
+            return 0 if i == n else max([best(i + 1, free), *(w[i, j] + best(i + 1, free - {j}) for j in free if (i, j) in w)])  # noqa: B023
+
+        got = best_pairs([(i, j, c) for (i, j), c in w.items()])
+        assert len({a for a, _, _ in got}) == len({b for _, b, _ in got}) == len(got) and all(w[a, b] == c for a, b, c in got)
+        assert abs(sum(c for _, _, c in got) - best(0, frozenset(range(m)))) < 1e-9
+
+
+def test_components_join_what_is_linked(spark):
+    chain = [(i, 1000 + i + k) for i in range(40) for k in (0, 1)] + [(100, 2000), (101, 2000), (102, 2002)]
+    got = {x["a"]: x["_part"] for x in components(spark.createDataFrame(chain, "a int, b int"), "a", "b").collect()}
+    assert got == {i: 0 for i in range(40)} | {100: 100, 101: 100, 102: 102}
+
+
 def test_title_similarity_counts_slips(spark):
     pairs = [("denopanarovogo", "deonpanaorvogo", True), ("zelvasokarem", "zelvasokarem", True), ("velmir", "dorkap", False), ("lemravelhokado", "lemrazelhopado", False), ("lemravelhokado", "lemravellhokad", True), ("abcdefghijkl", "mnopqrghijkl", False)]
     df = spark.createDataFrame([p[:2] for p in pairs], "a string, b string").select(title_similarity(F.col("a"), F.col("b")).alias("s"))
