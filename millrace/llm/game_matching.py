@@ -23,11 +23,26 @@ from millrace.session import cut
 GAME_TYPES = ("game", "early access")
 
 
-def _orders(skeleton: str = "skeleton", tokens: str = "tokens") -> Column:
-    """The composite sort texts of an entry: forwards, backwards, and by each of its two longest words."""
-    s = F.col(skeleton)
-    by_word = F.transform(F.coalesce(F.col(tokens), F.array().cast("array<string>")), lambda t: F.concat(t, F.lit("/"), s))
-    return F.concat(F.array(s, F.reverse(s)), by_word)
+def _laid_forms(titles: DataFrame) -> DataFrame:
+    """``e`` (``skeleton``, ``marker``) and ``orders``: each distinct form once forwards and backwards, and by its longest words.
+
+    However many games or records share a form, they take one place in an order, and equal forms stand side by side.
+    """
+    s, mark = F.col("skeleton"), F.concat(F.lit("/"), F.col("marker"))
+    once = titles.select("skeleton", "marker").distinct().select(F.struct("skeleton", "marker").alias("e"), F.array(F.concat(s, mark), F.concat(F.reverse(s), mark)).alias("orders"))
+    none = F.lit(None).cast("string")
+    by_word = F.concat(F.array(none, none), F.transform("tokens", lambda t: F.concat(t, F.lit("/"), s, mark)))
+    words = titles.where(F.size("tokens") > 0).select("skeleton", "marker", "tokens").distinct().select(F.struct("skeleton", "marker").alias("e"), by_word.alias("orders"))
+    return once.unionByName(words)
+
+
+def _support_keys(left: bool) -> Column:
+    """What the two sides of a match by a shortened title must share: a near day, or where one day is missing, a company's first word."""
+    day = F.to_date("day")
+    days = F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda k: F.date_add(day, k.cast("int")).cast("string")) if left else F.array(day.cast("string"))
+    words = [F.concat(F.lit(f"{c}:"), F.substring_index(c, " ", 1)) for c in ("publisher", "developer")]
+    unknown = lambda n, side: [F.when(day.isNull() | F.lit(side != left), F.concat(F.lit(f"{n}:"), w)) for w in words]
+    return F.array_compact(F.concat(F.coalesce(days, F.array().cast("array<string>")), F.array(F.date_format(day, "MM-dd"), *unknown(0, True), *unknown(1, False))))
 
 
 def games_of(rows: DataFrame) -> DataFrame:
@@ -56,18 +71,26 @@ def _genre(c: Column) -> Column:
 def title_edges(games: DataFrame, sources: DataFrame, shortened: bool) -> DataFrame:
     """``game``, ``source``, ``title`` (similarity), ``short``: pairs with the same key, and neighbours with near skeletons.
 
-    A pair's sequel or reissue marks are the same. With ``shortened`` a source may also bear a game's shorter title.
+    A pair's sequel or reissue marks are the same. With ``shortened`` a source may also bear a game's shorter title, if
+    it shares a near day or, where one is missing, a company's first word; these join, so that a title that many games
+    and records share does not make all pairs.
     """
     same = games.select("key", "game").join(sources.select("key", "source"), "key").select("game", "source", F.lit(1.0).alias("title"), F.lit(False).alias("short"))
-    full = games.select("game", "marker", "skeleton", "tokens", F.lit(False).alias("short"))
+    form = ["skeleton", "marker"]
+    laid = games.select(*form, "tokens")
+    if shortened:
+        bases = games.select("game", "marker", F.explode("bases").alias("skeleton"), "day", "publisher", "developer")
+        laid = laid.unionByName(bases.select(*form, F.array().cast("array<string>").alias("tokens")))
+    near = neighbours(_laid_forms(laid), _laid_forms(sources)).where((F.col("l.marker") == F.col("r.marker")) & (F.abs(F.length("l.skeleton") - F.length("r.skeleton")) <= 4)).distinct()
+    near = near.select(F.col("l.skeleton").alias("skeleton"), F.col("l.marker").alias("marker"), F.col("r.skeleton").alias("_skeleton"), title_similarity(F.col("l.skeleton"), F.col("r.skeleton")).alias("title"))
+    near = cut(near.where(F.col("title").isNotNull()))
+    theirs = sources.withColumnRenamed("skeleton", "_skeleton")
+    whole = games.select("game", *form).join(near, form).join(theirs.select("source", "_skeleton", "marker"), ["_skeleton", "marker"])
+    both = same.unionByName(whole.select("game", "source", "title", F.lit(False).alias("short")))
     if shortened:
-        base = games.select("game", "marker", F.explode("bases").alias("skeleton")).withColumn("tokens", F.array().cast("array<string>")).withColumn("short", F.lit(True))
-        full = full.unionByName(base)
-    left = full.select(F.struct("game", "marker", "skeleton", "short").alias("e"), _orders().alias("orders"))
-    right = sources.select(F.struct("source", "marker", "skeleton").alias("e"), _orders().alias("orders"))
-    near = neighbours(left, right).where((F.col("l.marker") == F.col("r.marker")) & (F.abs(F.length("l.skeleton") - F.length("r.skeleton")) <= 4))
-    near = near.select(F.col("l.game").alias("game"), F.col("r.source").alias("source"), title_similarity(F.col("l.skeleton"), F.col("r.skeleton")).alias("title"), F.col("l.short").alias("short"))
-    both = same.unionByName(near.where(F.col("title").isNotNull()))
+        ours = bases.join(near, form).select("game", "_skeleton", "marker", "title", F.explode(_support_keys(True)).alias("_key"))
+        found = ours.join(theirs.select("source", "_skeleton", "marker", F.explode(_support_keys(False)).alias("_key")), ["_skeleton", "marker", "_key"])
+        both = both.unionByName(found.select("game", "source", "title", F.lit(True).alias("short")))
     # a whole title counts before a shortened one
     best = both.groupBy("game", "source").agg(F.max(F.struct((~F.col("short")).alias("whole"), "title")).alias("b"))
     return best.select("game", "source", F.col("b.title").alias("title"), (~F.col("b.whole")).alias("short"))

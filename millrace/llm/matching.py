@@ -42,12 +42,12 @@ def _positions(entries: DataFrame, order: str) -> DataFrame:
 def neighbours(left: DataFrame, right: DataFrame, window: int = WINDOW) -> DataFrame:
     """Pairs of entries that stand within ``window`` places of each other in some order: ``l``, ``r`` (each side's struct).
 
-    Both sides have ``orders`` (array of composite sort texts) and ``e`` (what identifies and describes the entry). All
+    Both sides have ``orders`` (array of composite sort texts; a null has no place) and ``e`` (what identifies and describes the entry). All
     orders are laid behind one another and sorted once. Pairs meet by an equi-join on places cut into blocks of
     ``window``: every block holds at most ``window`` rows, so no key can become hot, and no block is all pairs of a group.
     """
     def laid(df: DataFrame, side: int) -> DataFrame:
-        return df.select(F.lit(side).alias("side"), "e", F.posexplode("orders").alias("k", "o")).select("side", "e", F.concat(F.col("k").cast("string"), F.lit(":"), "o").alias("o"))
+        return df.select(F.lit(side).alias("side"), "e", F.posexplode("orders").alias("k", "o")).select("side", "e", F.concat(F.col("k").cast("string"), F.lit(":"), "o").alias("o")).where("o is not null")
 
     placed = _positions(
         laid(left, 0).select("side", F.col("e").alias("l"), F.lit(None).cast(right.schema["e"].dataType).alias("r"), "o").unionByName(

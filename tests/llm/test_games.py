@@ -156,3 +156,14 @@ def test_match_games(spark):
     assert got == {(1, 101), (1, 102), (1, 107), (5, 105), (5, 202), (3, 203), (1, 204), (2, 204), (6, 201)}
     assert match_games(*(f.limit(0) for f in frames)).count() == 0
     assert {(r["row_id"], r["source_id"]) for r in match_games(frames[0], frames[1].limit(0), frames[2].limit(0)).collect()} == {(6, 201)}
+
+
+def test_games_that_share_a_shortened_title(spark):
+    names = [f"{a}{b}" for a in ("Lom", "Tar", "Vek", "Sud", "Nir", "Gop", "Hax", "Fer") for b in ("arin", "obek", "udal", "epos", "ilum", "ynda", "ogra", "usti", "evan", "acor")]
+    company = lambda i: f"Studio{names[i]} Games"
+    enriched = [(i, f"Gonelvo Lavabalem {n}", company(i), None, None, f"{1990 + i // 28}-03-{i % 28 + 1:02d}", None, None, None) for i, n in enumerate(names)]
+    contrast = [(1000 + i, "Gonelvo Lavabalem", *((company(i), None, None, None) if i % 8 == 0 else (None, None, None, f"{1990 + i // 28}-03-{i % 28 + 1:02d}"))) for i in range(len(names))]
+    contrast[5] = (1005, "Gonelvo Lavabelam", *contrast[5][2:])
+    frames = [spark.createDataFrame(d, s) for d, s in ((enriched, E), ([], O), (contrast, M))]
+    got = {(r["row_id"], r["source_id"]) for r in match_games(*frames).collect()}
+    assert got == {(i, 1000 + i) for i in range(len(names))}
