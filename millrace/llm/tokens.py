@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
@@ -162,8 +163,9 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     that tasks encode in parallel, and joined again per document: places where a unit surely begins need nothing,
     elsewhere windows around the join are encoded anew until both sides agree exactly.
 
-    Null and empty texts have empty ids; repeated keys are encoded each (of long texts, ``key`` must be unique); an
-    empty table gives an empty result; other columns are not read.
+    Null and empty texts have empty ids; rows that repeat a key or have none are encoded each (pieces of long texts go
+    by key and the text's digest, rows alike in both are joined once and counted); an empty table gives an empty
+    result; other columns are not read.
     """
     typed = dict(df.dtypes)[key]
 
@@ -176,27 +178,29 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k, t in zip(b[key], b[text], strict=True):
-                found = pieces(t, piece)
+                found, digest = pieces(t, piece), hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()
                 for at in range(0, len(found), 64):
                     some = found[at : at + 64]
-                    yield pd.DataFrame({key: k, "part": range(at, at + len(some)), "joined": [j for _, j in some], "piece": [p for p, _ in some]})
+                    yield pd.DataFrame({key: k, "digest": digest, "part": range(at, at + len(some)), "joined": [j for _, j in some], "piece": [p for p, _ in some]})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = codec(tokenizer, folder)
         for b in batches:
-            yield pd.DataFrame({key: b[key], "part": b["part"], "joined": b["joined"], "ids": [enc.encode_ordinary(p) for p in b["piece"]]})
+            yield pd.DataFrame({key: b[key], "digest": b["digest"], "n": b["n"], "part": b["part"], "joined": b["joined"], "ids": [enc.encode_ordinary(p) for p in b["piece"]]})
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("part")
         ids = join_all(codec(tokenizer, folder), [(list(map(int, i)), bool(j)) for i, j in zip(group["ids"], group["joined"], strict=True)])
-        return pd.DataFrame({key: group[key].iloc[:1], "ids": [ids]})
+        return pd.DataFrame({key: group[key].iloc[:1], "n": group["n"].iloc[:1], "ids": [ids]})
 
     rows = df.select(F.col(key), F.col(text))
     size = F.coalesce(F.length(text), F.lit(0))
     most = rows.where(size <= long_text).mapInArrow(short, f"{key} {typed}, ids array<int>")
-    parts = rows.where(size > long_text).mapInPandas(cut, f"{key} {typed}, part int, joined boolean, piece string")
-    coded = parts.repartition(key, "part").mapInPandas(encode, f"{key} {typed}, part int, joined boolean, ids array<int>")
-    return most.unionByName(coded.groupBy(key).applyInPandas(join, f"{key} {typed}, ids array<int>"))
+    parts = rows.where(size > long_text).mapInPandas(cut, f"{key} {typed}, digest string, part int, joined boolean, piece string")
+    once = parts.groupBy(key, "digest", "part").agg(F.first("joined").alias("joined"), F.first("piece").alias("piece"), F.count("*").alias("n"))
+    coded = once.mapInPandas(encode, f"{key} {typed}, digest string, n bigint, part int, joined boolean, ids array<int>")
+    whole = coded.groupBy(key, "digest").applyInPandas(join, f"{key} {typed}, n bigint, ids array<int>")
+    return most.unionByName(whole.select(key, "ids", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_")).drop("_"))
 
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:

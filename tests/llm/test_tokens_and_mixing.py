@@ -40,6 +40,15 @@ def test_corpus_with_long_texts(spark, enc):
     assert sizes[99] == sizes[98] == 0 and sizes[12] == len(enc.encode_ordinary(long[12]))
 
 
+def test_long_texts_that_repeat_a_key(spark, enc):
+    a, b = "x y " * 90, "好的我们 ab " * 70
+    data = [(1, a), (1, b), (1, a), (None, a), (None, b), (None, b), (2, b), (1, "short")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    got = [(r["doc_id"], r["ids"]) for r in tokens.encode_corpus(df, long_text=100, piece=40).collect()]
+    order = lambda x: (x[0] or 0, x[1])
+    assert sorted(got, key=order) == sorted(((k, enc.encode_ordinary(t)) for k, t in data), key=order)
+
+
 def test_special_token_text_is_ordinary(spark, enc):
     df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id bigint, text string")
     assert 50256 not in tokens.encode_corpus(df).first()["ids"]
