@@ -113,7 +113,7 @@ def repaired(text: str) -> tuple[str, list[int] | None]:
 
 _NUMBER = re.compile(r"[\ufeff \t]*[0-9OolIZSB]{1,7}\s*\Z")
 _FRAMES = re.compile(r"(?:^|(?<=[\n\r]))[﻿ \t]*\{\d+\}\{\d*\}")
-_HIDDEN = re.compile(r"<[^<>\n]{0,200}>|\{[^{}\n]{0,80}\}|[♪♫♬♩﻿​‎‏‪-‮⁠]")
+_HIDDEN = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}|[♪♫♬♩﻿​‎‏‪-‮⁠]")
 _TURN = re.compile(r"[\s\x02]*(>>+|-(?!-)|–(?=[ \x02]*\S))")
 _DESCRIPTION = re.compile(r"[\s\x02]*(?:(?:\[[^\]]*\]|\([^()]*\)|（[^（）]*）|［[^［］]*］|【[^【】]*】|\*[^*]+\*)[\s\x02]*)+\Z")
 # What adverts in subtitle files say in their first line, with characters that are often misread.

@@ -93,3 +93,9 @@ def test_over_a_table(spark):
     df = spark.createDataFrame([(1, "A. B.", 5), (2, "", 5), (3, None, 5), (1, "A. B.", 5), (4, " \n", 5)], "doc_id bigint, text string, end_pos int")
     assert sorted(tuple(r) for r in sentence_ends(df).collect()) == [(1, 5)] * 2 or sorted(tuple(r) for r in sentence_ends(df).collect()) == [(1, 2), (1, 2), (1, 5), (1, 5)]
     assert sentence_ends(df.limit(0)).count() == 0
+
+
+def test_markup_of_any_length_is_hidden():
+    style = "; ".join(f"x{i}: Bo. Ko" for i in range(40))
+    text = srt(f'<font style="{style}">The gate is shut. We wait.</font>', f"{{{style}}}Nobody came. Fine.")
+    ends_with(text, "is shut.", "We wait.", "Nobody came.", "Fine.")
