@@ -11,10 +11,11 @@ from millrace.functions.canonical import plain_text
 CHUNK_ROWS, RANGE_KEYS = 32, 4096
 
 
-def snapshot_changes(df: DataFrame, load: str, key: str, columns: list[str], order: list) -> DataFrame:
+def snapshot_changes(df: DataFrame, load: str, key: str, columns: list[str], order: list[str]) -> DataFrame:
     """From each load to the next: ``load`` (the later one), ``key``, ``change_kind`` (added, removed, changed).
 
-    Within a load the first row in ``order`` holds for its key. Snapshots are sorted by key within ranges of keys;
+    Within a load the row with the greatest ``order`` (columns, nulls least) holds for its key; rows are hashed where
+    they are read, so that keys and hashes move and no texts. Snapshots are sorted by key within ranges of keys;
     a chunk begins at every key whose hash says so, hence at the same places in all snapshots, and is told by a
     digest of 128 bits of its rows. Chunks with the same digest as in the neighbouring load are discarded; only
     rows of the others are compared, by key and row hash.
@@ -23,16 +24,16 @@ def snapshot_changes(df: DataFrame, load: str, key: str, columns: list[str], ord
     load, or an empty table, gives no change; repeated rows change nothing; further columns are not read.
     """
     known = df.where(F.col(load).isNotNull() & F.col(key).isNotNull())
-    rank = F.row_number().over(Window.partitionBy(load, key).orderBy(*order))
-    rows = known.withColumn("_rank", rank).where("_rank = 1")
     content = [F.coalesce(plain_text(F.col(c)), F.lit("\x00")) for c in columns]
-    rows = rows.select(
+    hashed = known.select(
         F.col(load).alias("_load"),
         F.col(key).alias("_key"),
-        F.floor(F.col(key) / F.lit(RANGE_KEYS)).alias("_range"),
+        *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)),
         F.xxhash64(F.lit("one"), F.col(key), *content).alias("_one"),
         F.xxhash64(F.lit("two"), F.col(key), *content).alias("_two"),
     )
+    latest = F.max(F.struct(*(f"_o{i}" for i in range(len(order))), "_one", "_two")).alias("_row")
+    rows = hashed.groupBy("_load", "_key").agg(latest).select("_load", "_key", F.floor(F.col("_key") / F.lit(RANGE_KEYS)).alias("_range"), "_row._one", "_row._two")
     sorted_keys = Window.partitionBy("_load", "_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
     opens = F.when(F.pmod(F.xxhash64("_key"), F.lit(CHUNK_ROWS)) == 0, F.col("_key"))
     rows = rows.withColumn("_chunk", F.coalesce(F.last(opens, ignorenulls=True).over(sorted_keys), F.col("_range") * RANGE_KEYS - 1))
