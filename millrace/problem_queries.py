@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions.missing import STAND_INS
 from millrace.operators.column_profile import BROKEN_SQL, MARKUP, ill_formed_day, ill_formed_name, load_shifts, profile_columns, quality_findings
-from millrace.operators.latest import latest_per_key
 from millrace.operators.packed import split_packed
 from millrace.operators.reconcile import reconcile
 from millrace.operators.snapshots import snapshot_changes
@@ -46,16 +45,13 @@ def p5_shifts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    latest = lambda df, *more: latest_per_key(df, ["id"], [F.col("ingested_at").desc_nulls_last(), *more])
     sample = table(spark, d, "games_sample").where("load_no = 6")
-    left = latest(sample, F.col("row_id").desc()).select("id", *TEXTS)
-    right = latest(table(spark, d, "games_store"), *(F.col(c) for c in TEXTS)).select("id", *TEXTS)
-    return reconcile(left, right, "id", TEXTS, days=["release_date"], left_name="sample", right_name="store")
+    ties = {"left_ties": [F.col("row_id").desc()], "right_ties": [F.col(c) for c in TEXTS]}
+    return reconcile(sample, table(spark, d, "games_store"), "id", TEXTS, days=["release_date"], left_name="sample", right_name="store", recent="ingested_at", **ties)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    order = [F.col("ingested_at").desc_nulls_last(), F.col("row_id").desc()]
-    return snapshot_changes(table(spark, d, "games_sample"), "load_no", "id", TEXTS, order)
+    return snapshot_changes(table(spark, d, "games_sample"), "load_no", "id", TEXTS, ["ingested_at", "row_id"])
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p3_found, p5_found, p5_profile, p5_shifts, p6_found, p7_found)}
