@@ -75,8 +75,13 @@ _EPOCH = re.compile(r"9{9,20}")
 _KEEP = "年月日"
 
 
+_MASK = str.maketrans("0123456789" + "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "9" * 10 + "A" * 52)
+
+
 def mask_of(value: str) -> str:
     """The character-class shape of ``value``, character for character."""
+    if value.isascii():
+        return value.translate(_MASK)
     return "".join("9" if c.isdigit() else "A" if c.isalpha() and c not in _KEEP else c for c in value)
 
 
@@ -192,10 +197,14 @@ def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def normal_forms(values: pd.Series, zones: pd.Series, default_zone: str = "UTC") -> pd.Series:
-    """``YYYY-MM-DDTHH:MM:SS.ffffffZ`` of values with a time of day, ``YYYY-MM-DD`` of those without, else None."""
+    """``YYYY-MM-DDTHH:MM:SS.ffffffZ`` of values with a time of day, ``YYYY-MM-DD`` of those without, else None.
+
+    Each distinct mask is compiled once; the values of a mask are one matrix of characters, whose columns become numbers
+    together.
+    """
     out = np.full(len(values), None, dtype=object)
     version = zone_data_version()
-    text = np.array([unicodedata.normalize("NFKC", v).strip() if isinstance(v, str) else "" for v in values], dtype=object)
+    text = [(v if v.isascii() else unicodedata.normalize("NFKC", v)).strip() if isinstance(v, str) else "" for v in values]
     feed = np.array([z if isinstance(z, str) and z else default_zone for z in zones], dtype=object)
     by_mask: dict[str, list[int]] = {}
     for i, v in enumerate(text):
@@ -205,67 +214,96 @@ def normal_forms(values: pd.Series, zones: pd.Series, default_zone: str = "UTC")
         parser = parser_of(mask)
         if parser is not None:
             at = np.array(rows)
-            _fill(out, at, text[at], feed[at], parser, version)
+            _fill(out, at, [text[i] for i in rows], feed[at], parser, version)
     return pd.Series(out, index=values.index, dtype=object)
 
 
-def _fill(out: np.ndarray, at: np.ndarray, text: np.ndarray, feed: np.ndarray, parser: dict[str, slice], version: str) -> None:
-    number = lambda k: np.array([int(v[parser[k]]) for v in text], dtype="int64")
+class _Columns:
+    """Values of one mask as a matrix of characters."""
+
+    def __init__(self, text: list[str], parser: dict[str, slice]) -> None:
+        self.text, self.parser = text, parser
+        self.codes = np.array(text, dtype=f"U{len(text[0])}").view(np.uint32).reshape(len(text), -1)
+
+    def number(self, part: str, most: int = 18) -> np.ndarray:
+        """The digits of a part, of its first ``most``, as numbers; digits of any script count."""
+        where = self.parser[part]
+        where = slice(where.start, min(where.stop, where.start + most))
+        digits = self.codes[:, where].astype("int64") - 48
+        if ((digits < 0) | (digits > 9)).any():
+            return np.array([int(v[where]) for v in self.text], dtype="int64")
+        return digits @ 10 ** np.arange(digits.shape[1] - 1, -1, -1, dtype="int64")
+
+    def words(self, part: str) -> tuple[list[str], np.ndarray]:
+        """The distinct texts of a part, and which of them each value has."""
+        where = self.parser[part]
+        if where.stop == where.start:
+            return [""], np.zeros(len(self.text), dtype="int64")
+        found, which = np.unique(np.ascontiguousarray(self.codes[:, where]).view(f"U{where.stop - where.start}").ravel(), return_inverse=True)
+        return found.tolist(), which
+
+
+def _fill(out: np.ndarray, at: np.ndarray, text: list[str], feed: np.ndarray, parser: dict[str, slice], version: str) -> None:
+    columns = _Columns(text, parser)
+    number = columns.number
+    n = len(at)
     if "epoch" in parser:
         digits = parser["epoch"].stop
-        raw = np.array([int(v) for v in text], dtype=object)
-        if 9 <= digits <= 11:
-            micros = raw * 1_000_000
+        if digits <= 11:
+            micros = number("epoch") * 1_000_000
         elif digits <= 14:
-            micros = raw * 1_000
+            micros = number("epoch") * 1_000
         elif digits <= 17:
-            micros = raw
+            micros = number("epoch")
         else:
-            micros = raw // 1_000
-        _emit(out, at, micros.astype("int64"), np.ones(len(at), bool))
+            micros = np.array([int(v) // 1_000 for v in text], dtype="int64")
+        _emit(out, at, micros, np.ones(n, bool))
         return
     y = number("y")
     if parser["y"].stop - parser["y"].start == 2:
         y = y + 2000
     if "mon" in parser:
-        m = np.array([_MONTH.get(_plain(v[parser["mon"]]), 0) for v in text], dtype="int64")
-        d = number("d")
+        names, which = columns.words("mon")
+        m, d = np.array([_MONTH.get(_plain(w), 0) for w in names], dtype="int64")[which], number("d")
     elif "a" in parser:
         a, b = number("a"), number("b")
+        zones, which = np.unique(feed.astype(str), return_inverse=True)
         slashes = text[0][parser["sep"]] == "/"
-        month_first = np.array([slashes and z.startswith(MONTH_FIRST) for z in feed], dtype=bool)
+        month_first = np.array([slashes and str(z).startswith(MONTH_FIRST) for z in zones], dtype=bool)[which]
         m, d = np.where(month_first, a, b), np.where(month_first, b, a)
     else:
         m, d = number("m"), number("d")
     day, ok = _days(y, m, d)
     if "H" not in parser:
-        for i in np.flatnonzero(ok):
-            out[at[i]] = f"{y[i]:04d}-{m[i]:02d}-{d[i]:02d}"
+        out[at[ok]] = np.datetime_as_string(day[ok].astype("datetime64[D]"), unit="D").astype(object)
         return
     hour, minute = number("H"), number("M")
-    second = number("S") if "S" in parser else np.zeros(len(at), "int64")
-    micro = np.array([int(v[parser["f"]][:6].ljust(6, "0")) for v in text], dtype="int64") if "f" in parser else np.zeros(len(at), "int64")
-    tails = [tail_of(v[parser["tail"]]) for v in text]
-    ok &= np.array([x is not None for x in tails]) & (minute < 60) & (second < 60)
-    half = np.array([x[0] if x else "" for x in tails])
+    second = number("S") if "S" in parser else np.zeros(n, "int64")
+    micro = number("f", 6) * 10 ** max(0, 6 - (parser["f"].stop - parser["f"].start)) if "f" in parser else np.zeros(n, "int64")
+    words, which = columns.words("tail")
+    tails = [tail_of(w) for w in words]
+    ok &= np.array([x is not None for x in tails])[which] & (minute < 60) & (second < 60)
+    half = np.array([x[0] if x else "" for x in tails])[which]
     ok &= np.where(half == "", hour < 24, (hour >= 1) & (hour <= 12))
     hour = np.where(half == "", hour, hour % 12 + np.where(half == "p", 12, 0))
     local = day * 86400 + hour * 3600 + minute * 60 + second
-    fixed = np.array([x[1] if x and x[1] is not None else 0 for x in tails], dtype="int64")
-    zone = np.array([None if x and x[1] is not None else (x[2] if x and x[2] else z) for x, z in zip(tails, feed, strict=True)], dtype=object)
-    utc = local - fixed
-    for name in {z for z in zone if z is not None}:
-        here = np.array([z == name for z in zone])
-        moved = to_utc(local[here], name, version)
-        if moved is None:
-            ok[here] = False
-        else:
-            utc[here] = moved
+    utc = local - np.array([x[1] if x and x[1] is not None else 0 for x in tails], dtype="int64")[which]
+    own = np.array([x[2] if x else None for x in tails], dtype=object)[which]
+    fixed = np.array([bool(x) and x[1] is not None for x in tails])[which]
+    zone = np.where(fixed, "", np.where(own == None, feed, own)).astype(str)  # noqa: E711
+    names, which = np.unique(zone, return_inverse=True)
+    for i, name in enumerate(names.tolist()):
+        if name:
+            here = which == i
+            moved = to_utc(local[here], name, version)
+            if moved is None:
+                ok[here] = False
+            else:
+                utc[here] = moved
     _emit(out, at, utc * 1_000_000 + micro, ok)
 
 
 def _emit(out: np.ndarray, at: np.ndarray, micros: np.ndarray, ok: np.ndarray) -> None:
     forms = np.datetime_as_string(micros.astype("datetime64[us]"), unit="us")
-    for i in np.flatnonzero(ok):
-        if len(forms[i]) == 26:  # years 0000 to 9999
-            out[at[i]] = f"{forms[i]}Z"
+    good = np.flatnonzero(ok & (np.char.str_len(forms) == 26))  # years 0000 to 9999
+    out[at[good]] = np.char.add(forms[good], "Z").astype(object)
