@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.errors import CheckError
+
 
 def local_session(app: str = "millrace", cores: str = "*", **conf: str) -> SparkSession:
     """A local session; an existing session is reused and never reconfigured by operators."""
@@ -18,6 +20,7 @@ def local_session(app: str = "millrace", cores: str = "*", **conf: str) -> Spark
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -41,14 +44,27 @@ def ship(spark: SparkSession) -> None:
     sc._millrace_shipped = True
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder for what is written on the way: ``spark.checkpoint.dir``, or in local mode a temporary one.
+
+    On a cluster a folder of this machine would be another one on each executor, so there an unset one is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise CheckError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="millrace-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset, as in tests,
-    is a temporary folder of this machine used. The result survives the loss of any executor.
+    The result survives the loss of any executor. Where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on, as
+    in ``local_session``, Spark removes the files when nothing refers to them any more.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        sc.setCheckpointDir(scratch_root(spark))
     return df.checkpoint(eager=True)
