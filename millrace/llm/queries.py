@@ -61,6 +61,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
 
 
+def p8_ids_by_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The same ids with every text beyond 600 characters put together from pieces of about 100."""
+    return encode_corpus(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k", long_text=600, piece=100)
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -73,5 +78,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_ends(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_survivors, p2_precedence, p4_found, p4_matches, p8_ids, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_survivors, p2_precedence, p4_found, p4_matches, p8_ids, p8_ids_by_tree, p9_mix, p9_shares, p10_found)}
 ORACLES: dict[str, str] = {}

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import base64
 import functools
-import hashlib
 import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +19,8 @@ TOKENIZER_DIR = "/opt/tokenizers"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of more characters are cut into pieces of about so many, encoded in parallel.
 LONG_TEXT, PIECE = 200_000, 50_000
+#: Threads that encode the pieces of one text.
+THREADS = 4
 
 
 @functools.lru_cache(maxsize=4)
@@ -156,51 +156,44 @@ def _lists(rows: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, long_text: int = LONG_TEXT, piece: int = PIECE) -> DataFrame:
+def encode_whole(enc, text: str | None, long_text: int = LONG_TEXT, piece: int = PIECE, threads: int = THREADS) -> list[int]:
+    """The ids of one text, without special tokens; none of null and empty ones.
+
+    A text of more than ``long_text`` characters is cut into pieces that ``threads`` threads encode in parallel (the
+    tokenizer works outside the interpreter's lock), and joined as a tree: places where a unit surely begins need
+    nothing, elsewhere windows around the join are encoded anew until both sides agree exactly. No call encodes more
+    than a piece or a window.
+    """
+    if not text:
+        return []
+    if len(text) <= long_text:
+        return enc.encode_ordinary(text)
+    found = pieces(text, piece)
+    coded = enc.encode_ordinary_batch([p for p, _ in found], num_threads=threads)
+    return join_all(enc, [(ids, joined) for ids, (_, joined) in zip(coded, found, strict=True)])
+
+
+def encode_corpus(
+    df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR,
+    long_text: int = LONG_TEXT, piece: int = PIECE, threads: int = THREADS,
+) -> DataFrame:
     """``key`` and ``ids`` (array of int, never null) of every row, without special tokens.
 
-    A narrow pass without any shuffle for all texts up to ``long_text`` characters. Longer ones are cut into pieces
-    that tasks encode in parallel, and joined again per document: places where a unit surely begins need nothing,
-    elsewhere windows around the join are encoded anew until both sides agree exactly.
+    One narrow pass that reads the corpus once and shuffles nothing: a row's text lies in one task anyway, so the
+    pieces of a long one go to threads of its task (``encode_whole``).
 
-    Null and empty texts have empty ids; rows that repeat a key or have none are encoded each (pieces of long texts go
-    by key and the text's digest, rows alike in both are joined once and counted); an empty table gives an empty
-    result; other columns are not read.
+    Null and empty texts have empty ids; rows that repeat a key or have none are encoded each; an empty table gives an
+    empty result; other columns are not read.
     """
     typed = dict(df.dtypes)[key]
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(tokenizer, folder)
         for b in batches:
-            rows = [enc.encode_ordinary(t) if t else [] for t in b.column(1).to_pylist()]
+            rows = [encode_whole(enc, t, long_text, piece, threads) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(rows)], names=[key, "ids"])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k, t in zip(b[key], b[text], strict=True):
-                found, digest = pieces(t, piece), hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()
-                for at in range(0, len(found), 64):
-                    some = found[at : at + 64]
-                    yield pd.DataFrame({key: k, "digest": digest, "part": range(at, at + len(some)), "joined": [j for _, j in some], "piece": [p for p, _ in some]})
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = codec(tokenizer, folder)
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "digest": b["digest"], "n": b["n"], "part": b["part"], "joined": b["joined"], "ids": [enc.encode_ordinary(p) for p in b["piece"]]})
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("part")
-        ids = join_all(codec(tokenizer, folder), [(list(map(int, i)), bool(j)) for i, j in zip(group["ids"], group["joined"], strict=True)])
-        return pd.DataFrame({key: group[key].iloc[:1], "n": group["n"].iloc[:1], "ids": [ids]})
-
-    rows = df.select(F.col(key), F.col(text))
-    size = F.coalesce(F.length(text), F.lit(0))
-    most = rows.where(size <= long_text).mapInArrow(short, f"{key} {typed}, ids array<int>")
-    parts = rows.where(size > long_text).mapInPandas(cut, f"{key} {typed}, digest string, part int, joined boolean, piece string")
-    once = parts.groupBy(key, "digest", "part").agg(F.first("joined").alias("joined"), F.first("piece").alias("piece"), F.count("*").alias("n"))
-    coded = once.mapInPandas(encode, f"{key} {typed}, digest string, n bigint, part int, joined boolean, ids array<int>")
-    whole = coded.groupBy(key, "digest").applyInPandas(join, f"{key} {typed}, n bigint, ids array<int>")
-    return most.unionByName(whole.select(key, "ids", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_")).drop("_"))
+    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {typed}, ids array<int>")
 
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -210,19 +203,7 @@ def token_counts(df: DataFrame, keep: list[str], text: str = "text", tokenizer:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(tokenizer, folder)
         for b in batches:
-            counts = np.array([sum(len(enc.encode_ordinary(p)) for p in _safe(t)) if t else 0 for t in b.column(len(keep)).to_pylist()], dtype="int64")
+            counts = np.array([len(encode_whole(enc, t)) for t in b.column(len(keep)).to_pylist()], dtype="int64")
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(counts)], names=[*keep, "tokens"])
 
     return df.select(*keep, text).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", tokens bigint")
-
-
-def _safe(text: str) -> list[str]:
-    """A long text in parts that encode independently, so that no single call grows without bound."""
-    if len(text) <= LONG_TEXT:
-        return [text]
-    out, at = [], 0
-    while len(text) - at > LONG_TEXT:
-        cut = next((p for p in range(at + PIECE, len(text)) if _certain(text, p)), len(text))
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]]

@@ -1,6 +1,7 @@
 """Tree concatenation against the whole encoding, and mixtures against their targets."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,28 @@ def test_long_texts_that_repeat_a_key(spark, enc):
     assert sorted(got, key=order) == sorted(((k, enc.encode_ordinary(t)) for k, t in data), key=order)
 
 
+def test_texts_without_any_place_to_cut(enc, monkeypatch):
+    """A text without spaces is halved, and no call is given more than a piece or a window."""
+    longest = []
+    real = type(enc).encode_ordinary
+    monkeypatch.setattr(type(enc), "encode_ordinary", lambda self, t: longest.append(len(t)) or real(self, t))
+    r = random.Random(4)
+    for alphabet in ("abcdefgh", "好的我们在这里等了", "a"):
+        text = "".join(r.choice(alphabet) for _ in range(30_000))
+        longest.clear()
+        ids = tokens.encode_whole(enc, text, 1000, 500, 2)
+        assert max(longest) < 10_000 or alphabet == "a"
+        assert ids == real(enc, text)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_the_tree_on_all_documents(spark):
+    from millrace.llm.queries import p8_ids, p8_ids_by_tree
+
+    whole, tree = ({r["doc_id"]: r["ids"] for r in q(spark, "/root/testdata/sf0.001").collect()} for q in (p8_ids, p8_ids_by_tree))
+    assert whole == tree and max(map(len, whole.values())) > 600
+
+
 def test_special_token_text_is_ordinary(spark, enc):
     df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id bigint, text string")
     assert 50256 not in tokens.encode_corpus(df).first()["ids"]
@@ -83,3 +106,18 @@ def test_complete_epochs_come_before_a_part(spark):
     targets = spark.createDataFrame([("a", 0.5, 4), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
     repeats = sorted(r["repeats"] for r in mix_sources(df, targets)[0].where("source = 'a'").collect())
     assert repeats == [2] * 10 + [3] * 10
+
+
+def test_slices_are_cut_until_they_are_small(spark):
+    """However small the last slice must be, the choice is the same."""
+    df = spark.createDataFrame([(i, "word " * (1 + i % 9), "a") for i in range(3000)] + [(5000 + i, "term " * 3, "b") for i in range(900)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    got = [{tuple(r) for r in mix_sources(df, targets, leaf=leaf)[0].collect()} for leaf in (1_000_000, 2)]
+    assert got[0] == got[1] and len(got[0]) > 1000
+
+
+def test_heavier_documents_come_first(spark):
+    df = spark.createDataFrame([(i, "word " * 5, "a", 1.0 if i % 2 else 0.05) for i in range(2000)] + [(9000 + i, "x " * 5, "b", None) for i in range(1000)], "doc_id bigint, text string, source string, score double")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    chosen = [r["doc_id"] for r in mix_sources(df, targets, weight=F.col("score"))[0].where("source = 'a'").collect()]
+    assert 900 < len(chosen) < 1100 and sum(i % 2 for i in chosen) > 0.85 * len(chosen)
