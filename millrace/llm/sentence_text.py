@@ -7,18 +7,19 @@ HIDE, and a change of speaker TURN. Only texts whose encoding was damaged carry
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_left
+from dataclasses import dataclass
 
 GAP, HIDE, TURN, END = "\x01", "\x02", "\x03", "\x00"
-#: A quotation or bracket is one only if it closes within so many characters, time lines included.
-REACH = 1500
 
 # Words before a full stop that never ends a sentence (lower-cased).
 NEVER = frozenset(
     "dr mr mrs ms prof sgt capt cpt lt col gen maj rev hon fr st mt ft vs approx i.e e.g cf fig messrs mme mlle mm dra sra srta sr "
     "srs sras profa ej ex p.ej p.ex c.-à-d c.-a-d av z b d h u o bzw hr str z.b d.h u.a ul ул т е н т.е им см проф пр акад "
-    "ดร นพ ศ डॉ श्री د أ م p a".split()
+    "ดร นพ ศ डॉ श्री د أ م p a adm brig sen gov pres rep supt insp det cmdr cpl pvt atty esq bd abb bzgl vgl ggf tab bspw sog tel "
+    "dott ing avv arch geb gest mgr inż".split()
 )
 # Words whose full stop goes on only before a number.
 BEFORE_NUMBER = frozenset("no nr núm num nº n fl p pp pg pág vol sec ch art ca c д стр кв гл п op cap núms nos nrs".split())
@@ -43,11 +44,6 @@ def _trie(words: dict[str, str]) -> dict:
     return root
 
 
-_ALL = {w: kind for kind, words in (("either", EITHER), ("number", BEFORE_NUMBER), ("never", NEVER)) for w in words}
-_TRIE = _trie(_ALL)
-_TRIE_MISREAD = _trie({_misread(w): kind for w, kind in _ALL.items() if len(w) > 1})
-
-
 def _walk(node: dict, word: str) -> str:
     for c in reversed(word):
         node = node.get(c)
@@ -56,15 +52,70 @@ def _walk(node: dict, word: str) -> str:
     return node.get("", "")
 
 
-def _abbreviation(word: str) -> str:
-    """"never", "number" or "either" of an abbreviation, be it damaged; else ""."""
-    kind = _walk(_TRIE, word)
-    if not kind and len(word) > 1:
-        kind = _walk(_TRIE_MISREAD, _misread(word))
-        if not kind and "\ufffd" in word:
-            shape = re.compile(re.escape(word).replace("\ufffd", "."))
-            kind = next((k for w, k in _ALL.items() if shape.fullmatch(w)), "")
-    return kind
+# What adverts in subtitle files say in their first line, with characters that are often misread.
+ADVERT = (
+    r"adverti[s5]e y[o0]ur|[s5]ubtit[l1|]es? (?:by|d[o0](?:w|vv)[nr]|fr[o0](?:m|rn))|captions?(?: by|:)|capti[o0]ns?:|[s5]ynced (?:&|and)|c[o0](?:rr|n)ected by|^=+ .* =+$"
+    r"|(?:w|vv)atch .{0,30} fir[s5]t [o0]n |find (?:m|rn)[o0]re at |j[o0]in u[s5]:|d[o0] y[o0]u [l1|]ike .*\?$|^(?:[s5]upp[o0]rt|f[o0][l1][l1][o0](?:w|vv)) u[s5]\b"
+    r"|d[o0]wn[l1][o0]aded fr[o0]m|enc[o0]ded by|tran[s5][l1]ated by|\bn[o0] ad[s5]\b"
+)
+# Parts of words, one of which every advert has, with misread characters folded.
+ADVERT_PARTS = ("advertise", "subtitles", "caption", "synced", "corrected", "conected",  "== ", "watch ", "vvatch ", "find more", "find rnore", "join us", "you like", "support us", "follow us", "downloaded", "encoded", "translated", " ads")
+# What Japanese sentences end with; told at a cue's end where no stop is written.
+JA_FINAL = ("です", "ます", "ました", "ません", "でした", "った", "んだ", "いた", "した", "ある", "いる", "ない", "さい", "でしょう", "ろう", "よう", "か", "ね", "よ")
+# Thai words that need something behind them, after which a space never ends a sentence; words that begin a clause which "before" closes.
+THAI_OPEN = ("เชื่อ", "ว่า", "และ", "กับ", "ของ", "คุณ", "นาย", "นาง", "ชื่อ", "หรือ", "แต่", "ให้", "เมื่อ", "ราคา", "ตอน", "ๆ", "ดร.", "พบ", "เห็น", "เพราะ")
+THAI_LEAD, THAI_BEFORE = ("เมื่อ", "หลังจาก", "ใน"), "ก่อน"
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """The words that the automaton knows, each replaceable; without any it goes by stops, marks, case and cues alone."""
+
+    never: frozenset[str] = NEVER
+    before_number: frozenset[str] = BEFORE_NUMBER
+    either: frozenset[str] = EITHER
+    advert: str = ADVERT
+    advert_parts: tuple[str, ...] = ADVERT_PARTS
+    japanese_final: tuple[str, ...] = JA_FINAL
+    thai_open: tuple[str, ...] = THAI_OPEN
+    thai_lead: tuple[str, ...] = THAI_LEAD
+
+
+#: No words at all.
+BARE = Lexicon(frozenset(), frozenset(), frozenset(), "", (), (), (), ())
+
+
+class _Words:
+    """A lexicon's tries and patterns."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.all = {w: kind for kind, words in (("either", lexicon.either), ("number", lexicon.before_number), ("never", lexicon.never)) for w in words}
+        self.trie = _trie(self.all)
+        self.misread = _trie({_misread(w): kind for w, kind in self.all.items() if len(w) > 1})
+        self.longest = max(map(len, self.all), default=0) + 1  # "m" may be misread as "rn"
+        self.advert = re.compile(lexicon.advert, re.I) if lexicon.advert else None
+        self.advert_parts = lexicon.advert_parts
+        self.japanese_final = lexicon.japanese_final
+        self.japanese_longest = max(map(len, lexicon.japanese_final), default=0)
+        self.thai_open = lexicon.thai_open
+        self.thai_lead = re.compile(rf"[\s\x01\x02]*(?:{'|'.join(map(re.escape, lexicon.thai_lead))})") if lexicon.thai_lead else None
+
+    def abbreviation(self, word: str) -> str:
+        """"never", "number" or "either" of an abbreviation, be it damaged; else ""."""
+        if len(word) > self.longest:
+            return ""
+        kind = _walk(self.trie, word)
+        if not kind and len(word) > 1:
+            kind = _walk(self.misread, _misread(word))
+            if not kind and "\ufffd" in word:
+                shape = re.compile(re.escape(word).replace("\ufffd", "."))
+                kind = next((k for w, k in self.all.items() if shape.fullmatch(w)), "")
+        return kind
+
+
+@functools.lru_cache(maxsize=8)
+def _words(lexicon: Lexicon) -> _Words:
+    return _Words(lexicon)
 
 
 # What Windows-1252 makes of the bytes 80 to 9F, and where that leaves nothing, Latin-1.
@@ -116,27 +167,18 @@ _FRAMES = re.compile(r"(?:^|(?<=[\n\r]))[﻿ \t]*\{\d+\}\{\d*\}")
 _HIDDEN = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}|[♪♫♬♩﻿​‎‏‪-‮⁠]")
 _TURN = re.compile(r"[\s\x02]*(>>+|-(?!-)|–(?=[ \x02]*\S))")
 _DESCRIPTION = re.compile(r"[\s\x02]*(?:(?:\[[^\]]*\]|\([^()]*\)|（[^（）]*）|［[^［］]*］|【[^【】]*】|\*[^*]+\*)[\s\x02]*)+\Z")
-# What adverts in subtitle files say in their first line, with characters that are often misread.
-_ADVERT = re.compile(
-    r"adverti[s5]e y[o0]ur|[s5]ubtit[l1|]es? (?:by|d[o0](?:w|vv)[nr]|fr[o0](?:m|rn))|captions?(?: by|:)|capti[o0]ns?:|[s5]ynced (?:&|and)|c[o0](?:rr|n)ected by|^=+ .* =+$"
-    r"|(?:w|vv)atch .{0,30} fir[s5]t [o0]n |find (?:m|rn)[o0]re at |j[o0]in u[s5]:|d[o0] y[o0]u [l1|]ike .*\?$|^(?:[s5]upp[o0]rt|f[o0][l1][l1][o0](?:w|vv)) u[s5]\b"
-    r"|d[o0]wn[l1][o0]aded fr[o0]m|enc[o0]ded by|tran[s5][l1]ated by|\bn[o0] ad[s5]\b",
-    re.I,
-)
-# Parts of words, one of which every advert has, with misread characters folded.
-_ADVERT_PARTS = ("advertise", "subtitles", "caption", "synced", "corrected", "conected",  "== ", "watch ", "vvatch ", "find more", "find rnore", "join us", "you like", "support us", "follow us", "downloaded", "encoded", "translated", " ads")
 _HIDDEN_CHARS = re.compile(r"[♪♫♬♩﻿​‎‏‪-‮⁠?�]")
 _STARTS = frozenset("-–>[(（［【*?=")
 
 
-def _advert_places(text: str) -> list[int]:
+def _advert_places(text: str, parts: tuple[str, ...]) -> list[int]:
     """Where words of adverts stand, in order."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     low = low.replace("0", "o").replace("1", "l").replace("|", "l").replace("5", "s")
     places = []
-    for part in _ADVERT_PARTS:
+    for part in parts:
         j = low.find(part)
         while j >= 0:
             places.append(j)
@@ -158,7 +200,7 @@ def _clocks(text: str):
         at, j = end, text.find("-->", end)
 
 
-def masked(text: str) -> tuple[str, list[int]]:
+def masked(text: str, words: _Words) -> tuple[str, list[int]]:
     """The masked text, and ends of units that stand outside the sentences: adverts' lines, descriptions alone in a cue."""
     parts: list[str] = []
     apart: list[int] = []
@@ -172,21 +214,21 @@ def masked(text: str) -> tuple[str, list[int]]:
         text = text.replace("|", "\n")
     else:
         heads = ()
-    adverts = _advert_places(text)
+    adverts = _advert_places(text, words.advert_parts)
     for begin, end in heads:
         if begin > at:
             if not parts and text[:begin].lstrip("﻿ \n\r\t")[:6] in ("WEBVTT", ""):
                 parts.append(GAP * (begin - at))  # the file's heading
             else:
-                _speech(text[at:begin], at, parts, apart, adverts)
+                _speech(text[at:begin], at, parts, apart, adverts, words)
         parts.append(GAP * (end - begin))
         at = end
     if at < len(text):
-        _speech(text[at:], at, parts, apart, adverts)
+        _speech(text[at:], at, parts, apart, adverts, words)
     return "".join(parts), apart
 
 
-def _speech(text: str, at: int, parts: list[str], apart: list[int], adverts: list[int]) -> None:
+def _speech(text: str, at: int, parts: list[str], apart: list[int], adverts: list[int], words: _Words) -> None:
     """Appends what lies between two time lines, masked if it is not plain speech."""
     if (
         text[0] in _STARTS or text[0].isspace() or "<" in text or "{" in text or "\n-" in text or "\n–" in text or "\n>" in text or "\n " in text
@@ -196,7 +238,7 @@ def _speech(text: str, at: int, parts: list[str], apart: list[int], adverts: lis
         for line in text.splitlines(keepends=True):
             cue.append((begin, line))
             begin += len(line)
-        _cue(cue, parts, apart)
+        _cue(cue, parts, apart, words)
     else:
         parts.append(text)
 
@@ -205,7 +247,7 @@ def _hide(m: re.Match) -> str:
     return HIDE * len(m[0])
 
 
-def _cue(cue: list[tuple[int, str]], parts: list[str], apart: list[int]) -> None:
+def _cue(cue: list[tuple[int, str]], parts: list[str], apart: list[int], words: _Words) -> None:
     shown = []
     for at, line in cue:
         if "<" in line or "{" in line or not line.isascii():
@@ -224,7 +266,7 @@ def _cue(cue: list[tuple[int, str]], parts: list[str], apart: list[int]) -> None
         apart.append(cue[0][0] + len(inner.rstrip("♪♫♬♩ ")) if inner[-1:] in "♪♫♬♩" else cue[0][0] + _last(text))
         parts.append(TURN + GAP * (len(text) - 1))
         return
-    if _ADVERT.search(bare.split("\n", 1)[0].rstrip()):
+    if words.advert is not None and words.advert.search(bare.split("\n", 1)[0].rstrip()):
         for at, line in shown:
             if end := _last(line):
                 apart.append(at + end)
@@ -252,50 +294,138 @@ def _last(s: str) -> int:
 
 
 _BLANKS = GAP + HIDE + TURN + END + " \t\n\r\x0b\x0c\xa0　  \x85"
-_STOPS = frozenset(".!?…。！？।؟॥｡")
+# What ends sentences in any script, after the Unicode property Sentence_Terminal, with the ellipsis and the Tibetan marks, without the Burmese comma.
+TERMINATORS = ".!?…։؝؞؟۔܀܁܂߹࠷࠹࠽࠾।॥།༎။።፧፨᙮᜵᜶។៕᠃᠉᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᰻᰼᱾᱿‼‽⁇⁈⁉⸮⸼。꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫﹒﹖﹗！．？｡"
+_STOPS = frozenset(TERMINATORS)
 _MARKS = "\"“”„«»「」『』〝〞‹›[]()（）［］【】"
-_PLAIN = re.compile(r"[.!?\"()\[\]«»“”„…\x03]")
+_PLAIN = re.compile(f"[{re.escape(TERMINATORS)}" + r"\"()\[\]«»“”„\x03]")
 _ANY = re.compile(
-    "[.!?…。！？।؟॥｡" + re.escape(_MARKS) + "\x03　]"
+    "[" + re.escape(TERMINATORS) + re.escape(_MARKS) + "\x03　]"
     + r"|(?<=[฀-๿\"”])[ \n\x01\x02\r]+(?=[^ \n\x01\x02\r\x03])|(?<=[るただすいんかねよう])[ \r\x02]*[\n\x01]"
 )
 _SKIP = re.compile(r"[\s\x01\x02]*")
 _EDGES = frozenset(_BLANKS + "\"“”„«»‹›「」『』()[]（）¿¡,;:|")
 _OPENS = {"«": "»", "„": "“", "「": "」", "『": "』", "〝": "〞", "‹": "›", "[": "]", "(": ")", "（": "）", "［": "］", "【": "】"}
 _BRACKETS = frozenset("])）］】")
+_BEFORE_OPENING = frozenset(" \n\r\t\x01\x02\x03([（—–-:：¿¡　\xa0")
+_AFTER_CLOSING = frozenset(" \n\r\t\x00\x01\x02\x03　\xa0")
 _CLOSERS = frozenset("\"“”»«」』〞›‹’'")
-_CASELESS = re.compile(r"[֐-෿฀-࿿ᄀ-ᇿ぀-ヿ㐀-鿿가-힯]")
+#: Scripts without capitals, Georgian's everyday letters among them.
+_CASELESS = re.compile("[\u0590-\u109f\u10d0-\u139f\u1401-\u1c7f\u3040-\u30ff\u3400-\u9fff\ua000-\ua4ff\ua840-\uabff\uac00-\ud7af]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _THAI = re.compile(r"[฀-๿]")
 _LEADING = re.compile(r"(?:[\s\x01\x02]|\[[^\]]*\]|\([^()]*\)|（[^（）]*）|［[^［］]*］|【[^【】]*】|\*[^*\n]{1,60}\*)*")
 _MONTH = re.compile(
     r"(?:jan|feb|m[aä\ufffd]r|apr|ma[iy]|jun|jul|aug|sep|o[ck]t|nov|de[cz])[a-zä\ufffd]*\b(?!\.)", re.I
 )
-# What Japanese sentences end with; told at a cue's end where no stop is written.
-_JA_FINAL = re.compile(r"(?:です|ます|ました|ません|でした|った|んだ|いた|した|ある|いる|ない|さい|でしょう|ろう|よう|か|ね|よ)\Z")
-# Thai words that need something behind them, after which a space never ends a sentence.
-_THAI_OPEN = ("เชื่อ", "ว่า", "และ", "กับ", "ของ", "คุณ", "นาย", "นาง", "ชื่อ", "หรือ", "แต่", "ให้", "เมื่อ", "ราคา", "ตอน", "ๆ", "ดร.", "พบ", "เห็น", "เพราะ")
-_THAI_LEAD = re.compile(r"[\s\x01\x02]*(?:เมื่อ|หลังจาก|ใน).{0,60}\Z", re.S)
-
-
-def unit_ends(text: str | None) -> list[int]:
+def unit_ends(text: str | None, lexicon: Lexicon = Lexicon()) -> list[int]:
     """Ends (in code points, after the last character) of the sentence units of a subtitle text; none of null or blank."""
     if not text:
         return []
+    words = _words(lexicon)
     fixed, places = repaired(text)
-    s, ends = masked(fixed)
-    ends += _sentences(s + END)
+    s, ends = masked(fixed, words)
+    ends += _sentences(s + END, words)
     ends.sort()
     return ends if places is None else [places[e - 1] for e in ends]
 
 
+#: An item's mark at a line's start: its opening bracket, number or letter, and closing sign.
+_ITEM = re.compile(r"[\n\x01][ \t\x02]*(\(?)(\d{1,3}(?:\.\d{1,3}){0,4}|[A-Za-z]|[ivxIVX]{2,5})([.)])(?=[ \t\x02])")
+_FIRST_ITEM = re.compile(r"\n[ \t\x02]*\(?(?:(?:\d{1,3}\.){0,4}1|[AaIi])[.)][ \t\x02]")
+_ROMAN = {"i": 1, "v": 5, "x": 10}
+
+
+def _values(mark: str) -> list[tuple[str, int | tuple[int, ...]]]:
+    """What an item's mark may count: (kind, number or numbers parted by points), in the order in which they are tried."""
+    if mark[0].isdigit():
+        return [("1", tuple(map(int, mark.split("."))))]
+    low, out = mark.lower(), []
+    case = "A" if mark.isupper() else "a"
+    if len(mark) == 1:
+        out.append((case, ord(low) - 96))
+    if set(low) <= _ROMAN.keys():
+        digits = [_ROMAN[c] for c in low]
+        out.append((f"{case} roman", sum(-d if d < max(digits[i:]) else d for i, d in enumerate(digits))))
+    return out
+
+
+def _follows(now: int | tuple[int, ...], last: int | tuple[int, ...]) -> bool:
+    """Whether a number counts on from another: 4 from 3; 2.1, 3 and 2.0.1 from 2.0, the way points nest."""
+    if isinstance(now, int) or isinstance(last, int):
+        return isinstance(now, int) and isinstance(last, int) and now == last + 1
+    k = len(now) - 1
+    return now == (*last, 1) or k < len(last) and now == (*last[:k], last[k] + 1)
+
+
+def list_items(s: str) -> list[tuple[int, int]]:
+    """(start, end of the mark) of every item of a list; levels are a stack.
+
+    An item counts on from the last of its kind on the stack, which ends the levels above it, or opens a level with the
+    first number or letter. A level is a list's if it has two items at least.
+    """
+    if not _FIRST_ITEM.search(s.replace(GAP, "")):  # quick, and no list begins otherwise
+        return []
+    levels: list[list] = []  # kind, number reached, (start, end) of its first item until a second comes
+    found: list[tuple[int, int]] = []
+    for m in _ITEM.finditer(s):
+        at, options = (m.start(1), m.end(3)), [((m[1], kind, m[3]), n) for kind, n in _values(m[2])]
+        for depth in range(len(levels) - 1, -1, -1):
+            kind, reached, first = levels[depth]
+            if n := next((n for k, n in options if k == kind and _follows(n, reached)), 0):
+                del levels[depth + 1 :]
+                if first is not None:
+                    found.append(first)
+                found.append(at)
+                levels[depth] = [kind, n, None]
+                break
+        else:
+            levels += [[k, n, at] for k, n in options[::-1] if n == 1 or isinstance(n, tuple) and set(n) == {1}][:1]
+    return sorted(found)
+
+
+#: Marks that open, each with what closes it; "“" and "»" also close.
+_PAIRS = {"«": "»", "»": "«", "„": "“", "“": "”", "「": "」", "『": "』", "〝": "〞", "‹": "›", "[": "]", "(": ")", "（": "）", "［": "］", "【": "】"}
+_OPENED_BY = {"»": "«", "«": "»", "“": "„", "”": "“", "」": "「", "』": "『", "〞": "〝", "›": "‹", "]": "[", ")": "(", "）": "（", "］": "［", "】": "【"}
+_MARK_OR_TURN = re.compile("[" + re.escape("\"“”„«»「」『』〝〞‹›[]()（）［］【】") + "\x03]")
+_MARK_TURN_OR_BLANK_LINE = re.compile(_MARK_OR_TURN.pattern + r"|\n[ \t]*\n")
+
+
+def paired_marks(s: str) -> set[int]:
+    """Where quotations and brackets open that also close, however far away; the others are stray marks.
+
+    Marks are matched by a stack for each kind. A change of speaker, and in a text without cues a blank line, begins anew.
+    A straight mark that looks like an opening one opens only if the next does not look like one too.
+    """
+    out: set[int] = set()
+    open_at: dict[str, list[int]] = {}
+    straight = -1
+    for m in (_MARK_OR_TURN if GAP in s else _MARK_TURN_OR_BLANK_LINE).finditer(s):
+        c, i = m[0], m.start()
+        if c == '"':
+            opening = (i == 0 or s[i - 1] in _BEFORE_OPENING) and s[i + 1] not in _AFTER_CLOSING
+            if straight >= 0 and not opening:
+                out.add(straight)
+                straight = -1
+            else:
+                straight = i
+        elif c == TURN or len(c) > 1:
+            open_at.clear()
+            straight = -1
+        elif (opener := _OPENED_BY.get(c)) and open_at.get(opener):
+            out.add(open_at[opener].pop())
+        elif c in _PAIRS:
+            open_at.setdefault(c, []).append(i)
+    return out
+
+
 def _begins(s: str, n: int) -> str:
     """What stands at ``n``: "U" begins a sentence, "l" goes on, "D" digit, "c" caseless letter, "q" opening mark, "-" dash, "," other."""
     c = s[n]
     if c.isalpha():
         if c.isupper():
             return "U"
-        if c.islower():
+        if c.islower() and not "\u10d0" <= c <= "\u10ff":  # Georgian begins sentences with these
             # a capital I misread as l
             return "U" if c == "l" and s[n + 1 : n + 2] and s[n + 1] in "tnsfm'’" else "l"
         return "c"
@@ -317,7 +447,7 @@ def _begins(s: str, n: int) -> str:
     return "U" if c in ".…" else "q"
 
 
-def _sentences(s: str) -> list[int]:
+def _sentences(s: str, words: _Words) -> list[int]:
     """Ends of the sentences of a masked text with END behind it."""
     ends: list[int] = []
     stack: list[str] = []
@@ -326,10 +456,21 @@ def _sentences(s: str) -> list[int]:
     opened = -1  # where the outermost open quotation began
     upto, n_all = 0, len(s) - 1
     plain = s.isascii() or not _CASELESS.search(s)
+    paired = paired_marks(s) if _MARK_OR_TURN.search(s) else frozenset()
+    items = [(a - 1, b - 1) for a, b in list_items("\n" + s)][::-1]
+    lead, lead_end = -1, 0  # where the descriptions before the sentence end
     for m in (_PLAIN if plain else _ANY).finditer(s):
         i = m.start()
+        while items and items[-1][0] <= i:  # an item begins a unit, and its mark's stop ends none
+            at, mark_end = items.pop()
+            if not stack and at >= start:
+                if end := _last(s[start:at]):
+                    ends.append(start + end)
+                start, upto = at, max(upto, mark_end)
         if i < upto:
             continue
+        if start != lead:
+            lead, lead_end = start, start if s[start].isalnum() else _LEADING.match(s, start).end()
         c = m[0]
         if c in _STOPS:
             k = i + 1
@@ -367,7 +508,7 @@ def _sentences(s: str) -> list[int]:
             n = k + 1 if after == " " and s[k + 1] not in _BLANK_SET else skip(s, k).end()
             if n >= n_all or s[n] == TURN:
                 continue  # the turn, or the end of the text, ends it
-            if _ends(s, start, i, s[i : i + 1] if k == i + 1 else _run(s, i), k, n, inside, quoted_from):
+            if _ends(s, start, lead_end, i, s[i : i + 1] if k == i + 1 else _run(s, i), k, n, inside, quoted_from, words):
                 ends.append(k)
                 start = n
         elif c == TURN:
@@ -385,24 +526,24 @@ def _sentences(s: str) -> list[int]:
                 if closing:
                     if '"' in stack:
                         del stack[stack.index('"') :]
-                elif s.find('"', i + 1, i + REACH) > 0:
+                elif i in paired:
                     if not stack:
                         opened = i
                     stack.append('"')
             elif stack and c == stack[-1]:
                 stack.pop()
             elif c in _OPENS and not (c == "«" and "«" in stack):
-                if s.find(_OPENS[c], i + 1, i + REACH) > 0:  # else a stray mark
+                if i in paired:  # else a stray mark
                     if not stack:
                         opened = i
                     stack.append(_OPENS[c])
             elif c == "“":
-                if s.find("”", i + 1, i + REACH) > 0:
+                if i in paired:
                     if not stack:
                         opened = i
                     stack.append("”")
             elif c == "»" and not stack:
-                if s.find("«", i + 1, i + REACH) > 0:
+                if i in paired:
                     opened = i
                     stack.append("«")
             elif c in stack:
@@ -410,24 +551,39 @@ def _sentences(s: str) -> list[int]:
         elif stack:
             continue
         elif c == "　":
-            if _CJK.search(s, start, i) and _LEADING.match(s, start).end() < i and s[i - 1] not in "、，：":
+            if lead_end < i and _CJK.search(s, start, i) and s[i - 1] not in "、，：":
                 ends.append(start + _last(s[start:i]))
                 start = skip(s, i).end()
         elif s[i - 1] in "\"”" or "฀" <= s[i - 1] <= "๿":
-            if _thai_break(s, start, i, m.end()):
+            if lead_end < i and _thai_break(s, start, i, m.end(), words):
                 ends.append(start + _last(s[start:i]))
                 start = m.end()
         else:
             n = skip(s, i).end()
-            if n < n_all and s[n] not in "かねよとの、。？！…\x03" and _JA_FINAL.search(s[max(start, i - 240) : i].translate(_UNBROKEN)[-9:]):
+            if n < n_all and s[n] not in "かねよとの、。？！…\x03" and _shown_before(s, start, i, words.japanese_longest).endswith(words.japanese_final):
                 ends.append(start + _last(s[start:i]))
                 start = n
+    for at, _ in reversed(items):  # items behind the last mark
+        if not stack and at >= start:
+            if end := _last(s[start:at]):
+                ends.append(start + end)
+            start = at
     end = _last(s[start:])
     if end:
         ends.append(start + end)
     return ends
 
 
+def _shown_before(s: str, start: int, i: int, n: int) -> str:
+    """The last ``n`` characters of speech before ``i``."""
+    out = ""
+    while i > start and len(out) < n:
+        i -= 1
+        if s[i] not in _UNBROKEN:
+            out = s[i] + out
+    return out
+
+
 def _run(s: str, i: int) -> str:
     k = i
     while s[k] in _STOPS:
@@ -437,12 +593,12 @@ def _run(s: str, i: int) -> str:
 
 _BLANK_SET = frozenset(_BLANKS + END)
 _MARK_SET = frozenset(_MARKS)
-_UNBROKEN = dict.fromkeys(map(ord, "\n\r" + HIDE + GAP))
+_UNBROKEN = frozenset("\n\r" + HIDE + GAP)
 
 
-def _ends(s: str, start: int, i: int, run: str, k: int, n: int, inside: bool, opened: int) -> bool:
+def _ends(s: str, start: int, lead_end: int, i: int, run: str, k: int, n: int, inside: bool, opened: int, words: _Words) -> bool:
     """Whether the stops ``run`` at ``i``, with closing marks up to ``k``, end the sentence begun at ``start``."""
-    if not s[start].isalnum() and _LEADING.match(s, start).end() >= i:
+    if not s[start].isalnum() and lead_end >= i:
         return False  # nothing but a pause or description so far
     nxt = _begins(s, n)
     last = s[i - 1]
@@ -452,9 +608,8 @@ def _ends(s: str, start: int, i: int, run: str, k: int, n: int, inside: bool, op
             return False
         if s[n] == "と" and n == k:
             return False  # what was said, with its particle
-        body = s[opened + 1 : i]
-        if _CASELESS.search(body) or (nxt == "c"):
-            if _LEADING.match(s, start).end() >= opened:
+        if nxt == "c" or _CASELESS.search(s, opened + 1, i):
+            if lead_end >= opened:
                 return nxt == "q" and n > k  # the speech comes first, then who says it
             return not ("؀" <= s[n] <= "ۿ")
         return True
@@ -470,7 +625,7 @@ def _ends(s: str, start: int, i: int, run: str, k: int, n: int, inside: bool, op
         return False  # within a number, name or address
     if nxt == ",":
         return False
-    k0, least = i, max(start, i - 16)
+    k0, least = i, max(start, i - words.longest - 2)  # longer words are no abbreviations
     while k0 > least and s[k0 - 1] not in _EDGES:
         k0 -= 1
     word = s[k0:i]
@@ -481,32 +636,31 @@ def _ends(s: str, start: int, i: int, run: str, k: int, n: int, inside: bool, op
         return False
     if nxt == "U" and word.isdigit() and _MONTH.match(s, n):
         return False
-    kind = _abbreviation(low) if len(low) < 8 else ""
+    kind = words.abbreviation(low)
     if kind == "number":
         return nxt != "D"
     if len(word) == 1 and word.isupper() and nxt == "U" and not _CASELESS.match(word):
         return False
     if low == "m":  # Monsieur, or the second half of p. m.
-        before = s[max(start, i - 50) : i - 1].rstrip(_BLANKS)
-        return word != "M" and before.endswith(("p.", "a."))
+        j = i - 2
+        while j > start and s[j] in _BLANK_SET:
+            j -= 1
+        return word != "M" and s[max(start, j - 1) : j + 1] in ("p.", "a.")
     return kind != "never"
 
 
-def _thai_break(s: str, start: int, i: int, n: int) -> bool:
+def _thai_break(s: str, start: int, i: int, n: int, words: _Words) -> bool:
     """Whether the space from ``i`` to ``n`` ends a Thai sentence."""
-    if _LEADING.match(s, start).end() >= i:
-        return False
-    before = s[start:i]
-    if not _THAI.search(before):
+    if not _THAI.search(s, start, i):
         return False
     nxt = s[n]
-    if before[-1] in "\"”":
+    if s[i - 1] in "\"”":
         return nxt not in ",;:"
     if nxt.isdigit() or nxt in "\"“(,;:.":
         return False
-    tail = before.rstrip(_BLANKS)
-    if tail.endswith(_THAI_OPEN):
-        return False
-    if tail.endswith("ก่อน") and _THAI_LEAD.match(before):
+    e = i
+    while e > start and s[e - 1] in _BLANK_SET:
+        e -= 1
+    if words.thai_open and s.endswith(words.thai_open, start, e):
         return False
-    return True
+    return not (s.endswith(THAI_BEFORE, start, e) and i - start <= 64 and words.thai_lead is not None and words.thai_lead.match(s, start, i))

@@ -9,14 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.sentence_text import unit_ends
+from millrace.llm.sentence_text import Lexicon, unit_ends
 
 
-def sentence_ends(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sentence_ends(df: DataFrame, key: str = "doc_id", text: str = "text", lexicon: Lexicon = Lexicon()) -> DataFrame:
     """One row per sentence unit of ``text``: ``key`` and ``end_pos``, the code points up to and including its last one.
 
-    A narrow pass over two columns, without any shuffle. A pushdown automaton follows quotations, brackets and the
-    cues' structure; word lists tell abbreviations, script-specific stops end sentences of scripts without capitals.
+    A narrow pass over two columns, without any shuffle. A pushdown automaton follows quotations and brackets of any
+    length, list levels and the cues' structure; tries tell abbreviations, each script's own stops end its sentences.
+    The words it knows are those of ``lexicon``.
     Damaged encodings are read right first and ends given in the text as it is.
 
     Null, empty and blank texts give no unit; an empty table gives an empty result; repeated rows repeated results;
@@ -26,7 +27,7 @@ def sentence_ends(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ends = [unit_ends(t) for t in b.column(1).to_pylist()]
+            ends = [unit_ends(t, lexicon) for t in b.column(1).to_pylist()]
             counts = np.fromiter(map(len, ends), dtype="int64", count=len(ends))
             flat = np.fromiter((e for row in ends for e in row), dtype="int64", count=int(counts.sum()))
             keys = b.column(0).take(pa.array(np.repeat(np.arange(len(ends)), counts)))

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.sentence_text import unit_ends
+from millrace.llm.sentence_text import BARE, Lexicon, unit_ends
 from millrace.llm.sentences import sentence_ends
 
 
@@ -99,3 +99,67 @@ def test_markup_of_any_length_is_hidden():
     style = "; ".join(f"x{i}: Bo. Ko" for i in range(40))
     text = srt(f'<font style="{style}">The gate is shut. We wait.</font>', f"{{{style}}}Nobody came. Fine.")
     ends_with(text, "is shut.", "We wait.", "Nobody came.", "Fine.")
+
+
+def units(text, **more):
+    ends = unit_ends(text, **more)
+    return [text[a:b].strip() for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def test_quotations_of_any_length():
+    for n in (5, 40, 4000):
+        assert len(units('"' + "It goes on and on here. " * n + 'End of it," he said. Then more.')) == 2
+        assert len(units("He (" + "it goes on. " * n + "so) left. Then more.")) == 2
+        assert len(units("«" + "It goes on here. " * n + "End» he said. Then more.")) == 2
+    assert units('A stray " mark. Then more. And "this. Is quoted" speech.') == ['A stray " mark.', "Then more.", 'And "this. Is quoted" speech.']
+    assert len(units("A stray ( bracket. Then more. And more.")) == 3
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Adm. Jones left. Sen. Lee met Brig. Gen. Ray.", ["Adm. Jones left.", "Sen. Lee met Brig. Gen. Ray."]),
+        ("Vgl. Abb. 3 dazu. Gut.", ["Vgl. Abb. 3 dazu.", "Gut."]),
+        ("ሰላም ነው። እንዴት ነህ፧ ደህና።", ["ሰላም ነው።", "እንዴት ነህ፧", "ደህና።"]),
+        ("မင်္ဂလာပါ။ နေကောင်းလား။", ["မင်္ဂလာပါ။", "နေကောင်းလား။"]),
+        ("សួស្តី។ សុខសប្បាយទេ។", ["សួស្តី។", "សុខសប្បាយទេ។"]),
+        ("Բարև։ Լավ։", ["Բարև։", "Լավ։"]),
+        ("یہ ہے۔ وہ نہیں ہے۔", ["یہ ہے۔", "وہ نہیں ہے۔"]),
+        ("ეს არის. ის არ არის.", ["ეს არის.", "ის არ არის."]),
+        ("བཀྲ་ཤིས། བདེ་ལེགས།", ["བཀྲ་ཤིས།", "བདེ་ལེགས།"]),
+    ],
+)
+def test_scripts_and_titles(text, want):
+    assert units(text) == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("The list:\n1. First item. It is long.\n  a) Sub one. And more\n  b) Sub two\n2. Second item", ["The list:", "1. First item.", "It is long.", "a) Sub one.", "And more", "b) Sub two", "2. Second item"]),
+        ("(a) one thing\n(b) another\n(i) sub\n(ii) sub two\n(c) third", ["(a) one thing", "(b) another", "(i) sub", "(ii) sub two", "(c) third"]),
+        ("1.1. Alpha\n1.2. Beta. Gamma\n2. Out\n2.1. In", ["1.1. Alpha", "1.2. Beta.", "Gamma", "2. Out", "2.1. In"]),
+        ("It was no. 1\nI saw it.\n1. place was his. Good.", ["It was no. 1\nI saw it.", "1. place was his.", "Good."]),  # one item is no list
+    ],
+)
+def test_list_levels(text, want):
+    assert units(text) == want
+
+
+def test_words_are_a_parameter():
+    assert units("Dr. Who left. He ran.") == ["Dr. Who left.", "He ran."]
+    assert units("Dr. Who left. He ran.", lexicon=BARE) == ["Dr.", "Who left.", "He ran."]
+    assert units("Xyz. Who left.", lexicon=Lexicon(never=frozenset({"xyz"}))) == ["Xyz. Who left."]
+    assert unit_ends("ยินดี ต้อนรับ", BARE) and unit_ends("これは本です\nはい", BARE)
+
+
+def test_time_is_linear():
+    import time
+
+    for part in ("เขาไปตลาดเพราะ ", '("', "“(", "Hello there. ", "1) ", "　", "かね\n", "[x "):
+        took = []
+        for n in (40_000, 320_000):
+            began = time.perf_counter()
+            unit_ends(part * (n // len(part)))
+            took.append(time.perf_counter() - began)
+        assert took[1] < 8 * 4 * max(took[0], 0.01), part
