@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from millrace.functions.missing import is_stand_in, stands_for_missing
 from millrace.operators.skew import join_large_small
@@ -21,7 +21,7 @@ from millrace.session import cut
 DELIMITERS = (",", ";", "|", "/", "&", "+", "·", "•", "、", "，", "；", "\n", "\r\n", "\r", "\t", " and ")
 #: A value spelled for the first time costs this much a character, and more for each delimiter or quote read as text.
 CHAR_BITS, LITERAL_BITS = 5.0, 32.0
-#: All sets of a field's delimiters are tried up to this number of kinds; beyond, the full set, each kind alone and each left out.
+#: Up to this number of kinds of delimiters all their sets are written out as candidates; of more, the best set is searched for.
 ALL_SETS = 6
 
 _ANY = "|".join(re.escape(d.strip(" ")) if d.strip(" ") != "and" else r"(?i:\s+and\s+)" for d in sorted(DELIMITERS, key=len, reverse=True))
@@ -101,36 +101,96 @@ def _merge(body: str, atoms: list[tuple[int, int, str | None, str]], delimiters:
 
 
 def _sets(kinds: list[str]) -> list[frozenset[str]]:
-    if len(kinds) <= ALL_SETS:
-        return [frozenset(c) for k in range(len(kinds), -1, -1) for c in itertools.combinations(kinds, k)]
-    full = frozenset(kinds)
-    return list(dict.fromkeys([full, *(full - {k} for k in kinds), *(frozenset({k}) for k in kinds), frozenset()]))
+    return [frozenset(c) for k in range(len(kinds), -1, -1) for c in itertools.combinations(kinds, k)]
 
 
 def _name(bracketed: bool, quote: str, delimiters: frozenset[str]) -> str:
     return "\x00".join(["[" if bracketed else "", quote, *sorted(delimiters)])
 
 
-def parses(value: str) -> dict[str, list[str]]:
-    """Every dialect that reads ``value`` in its own way, by name, with the items it gives; finest first."""
-    out: dict[str, list[str]] = {}
-    seen: set[tuple[str, ...]] = set()
+def _readings(value: str) -> Iterator[tuple[bool, str, str, list[tuple[int, int, str | None, str]], list[str]]]:
+    """Whether brackets around the field go, the way of quoting, the body, its atoms and their kinds of delimiters."""
     bodies = [(value.strip(), False)]
     if (inner := _body(value))[1]:
         bodies.insert(0, inner)
     for body, bracketed in bodies:
         for quote in _MODES[::-1]:
-            if quote and quote not in body:
-                continue
-            atoms = _atoms(body, quote)
-            for delimiters in _sets(sorted({a[3] for a in atoms} - {""})):
-                items = _merge(body, atoms, delimiters)
-                if tuple(items) not in seen:
-                    seen.add(tuple(items))
-                    out[_name(bracketed, quote, delimiters)] = items
+            if not quote or quote in body:
+                atoms = _atoms(body, quote)
+                yield bracketed, quote, body, atoms, sorted({a[3] for a in atoms} - {""})
+
+
+def parses(value: str) -> dict[str, list[str]]:
+    """Every dialect that reads ``value`` in its own way, by name, with the items it gives; finest first.
+
+    Readings of more than ``ALL_SETS`` kinds of delimiters are left to ``best_of_many``.
+    """
+    out: dict[str, list[str]] = {}
+    seen: set[tuple[str, ...]] = set()
+    for bracketed, quote, body, atoms, kinds in _readings(value):
+        for delimiters in _sets(kinds) if len(kinds) <= ALL_SETS else ():
+            items = _merge(body, atoms, delimiters)
+            if tuple(items) not in seen:
+                seen.add(tuple(items))
+                out[_name(bracketed, quote, delimiters)] = items
     return out
 
 
+def _item(body: str, atoms: list, i: int, j: int) -> str:
+    """The item made of the atoms ``i`` to ``j``."""
+    text = atoms[i][2] if i == j else None
+    return (body[atoms[i][0] : atoms[j][1]] if text is None else text).strip()
+
+
+def possible_items(body: str, atoms: list, kinds: list[str]) -> set[str]:
+    """Every item that some set of delimiters gives: of each atom at most one for each kind, so linear in the atoms."""
+    ends: dict[str, int] = {}  # where each kind comes next
+    out, last = set(), len(atoms) - 1
+    for i in range(last, -1, -1):
+        if atoms[i][3]:
+            ends[atoms[i][3]] = i
+        before = atoms[i - 1][3] if i else ""
+        until = ends.get(before, last)  # the delimiter before the item stands not within it
+        out.update(_item(body, atoms, i, j) for j in {*ends.values(), last} if j <= until)
+    return out
+
+
+def _overhead(kinds: int, items: int) -> float:
+    return math.log2(len(DELIMITERS)) * (kinds + max(0, items - 1)) + 2
+
+
+def best_of_many(value: str, bits: dict[str, float]) -> tuple[str, float, int] | None:
+    """(dialect, bits, items) of least description length among the readings of more than ``ALL_SETS`` kinds, or None.
+
+    Branch and bound: a kind is decided where it is first met, and a way is left when what it has cost is more than the
+    best; costs only grow. So all sets are decided, as if each were written out.
+    """
+    best: tuple[float, int, str] | None = None
+    for bracketed, quote, body, atoms, kinds in _readings(value):
+        if len(kinds) <= ALL_SETS:
+            continue
+        stack = [(0, 0, 0.0, 0, frozenset(), frozenset())]  # atom, begin of its item, cost, items, delimiters, text
+        while stack:
+            i, begin, cost, items, inside, text = stack.pop()
+            while True:
+                delimiter = atoms[i][3]
+                end = i == len(atoms) - 1
+                if not end and delimiter not in inside and delimiter not in text:
+                    stack.append((i, begin, cost, items, inside, text | {delimiter}))
+                    inside = inside | {delimiter}
+                if end or delimiter in inside:
+                    if item := _item(body, atoms, begin, i):
+                        cost, items = cost + bits[item], items + 1
+                    begin = i + 1
+                if end or best is not None and round(cost, 6) > best[0]:
+                    break
+                i += 1
+            if end:
+                found = (round((cost if items else bits[""]) + _overhead(len(inside), items), 6), -items, _name(bracketed, quote, inside))
+                best = found if best is None else min(best, found)
+    return (best[2], best[0], -best[1]) if best else None
+
+
 def parse(value: str, dialect: str) -> list[str]:
     """The items of ``value`` under a dialect of ``parses``."""
     bracket, quote, *delimiters = dialect.split("\x00")
@@ -150,18 +210,31 @@ def _names(value: pd.Series, dialect: pd.Series) -> pd.Series:
     return pd.Series([[x for x in parse(v, d) if not stands_for_missing(x)] for v, d in zip(value, dialect, strict=True)])
 
 
+#: Stands for the dialect of items of values that ``best_of_many`` reads.
+_MANY = "\x01"
+_CANDIDATES = ["number", "dialect", "n_items", "overhead", "item", "times", "first", "spelling"]
+
+
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for number, value in zip(b["number"], b["value"], strict=True):
             known: set[str] = set()
             for dialect, items in parses(value).items():
-                kinds = len(dialect.split("\x00")) - 2
-                overhead = math.log2(len(DELIMITERS)) * (kinds + max(0, len(items) - 1)) + 2
+                overhead = _overhead(len(dialect.split("\x00")) - 2, len(items))
                 for item, times in Counter(items or [""]).items():
                     rows.append((number, dialect, len(items), overhead, item, times, int(item not in known), spelling_bits(item)))
                     known.add(item)
-        yield pd.DataFrame(rows, columns=["number", "dialect", "n_items", "overhead", "item", "times", "first", "spelling"])
+            many = [r for r in _readings(value) if len(r[4]) > ALL_SETS]
+            for item in set().union(*(possible_items(*r[2:]) for r in many), {""} if many else ()):
+                rows.append((number, _MANY, 0, 0.0, item, 1, int(item not in known), spelling_bits(item)))
+        yield pd.DataFrame(rows, columns=_CANDIDATES)
+
+
+@F.pandas_udf(StructType([StructField("dialect", StringType()), StructField("bits", DoubleType()), StructField("n_items", IntegerType())]))
+def _searched(value: pd.Series, items: pd.Series) -> pd.DataFrame:
+    found = [best_of_many(v, {x["item"]: x["code_bits"] for x in known}) or (None, None, None) for v, known in zip(value, items, strict=True)]
+    return pd.DataFrame(found, columns=["dialect", "bits", "n_items"])
 
 
 def choose_dialects(values: DataFrame) -> DataFrame:
@@ -175,14 +248,17 @@ def choose_dialects(values: DataFrame) -> DataFrame:
     # few bytes and much work: spread over all cores, and written once for the counts and the scores
     spread = values.select("number", "value").repartition(2 * values.sparkSession.sparkContext.defaultParallelism)
     cand = cut(spread.mapInPandas(_candidates, schema))
-    codes = cand.groupBy("item").agg(F.sum("first").alias("n"), F.first("spelling").alias("spelling"))
+    codes = cut(cand.groupBy("item").agg(F.sum("first").alias("n"), F.first("spelling").alias("spelling")))
     total = max(1, codes.agg(F.sum("n").alias("n")).first()["n"] or 0)
-    codes = codes.select("item", "n", (F.lit(math.log2(total)) - F.log2("n") + F.col("spelling") / F.col("n")).alias("code_bits"))
-    scored = (
-        join_large_small(cand.drop("spelling", "first"), codes, "item", count="n", total=total)
-        .groupBy("number", "dialect")
-        .agg((F.sum(F.col("code_bits") * F.col("times")) + F.first("overhead")).alias("bits"), F.first("n_items").alias("n_items"))
-    )
+    bits = codes.select("item", (F.lit(math.log2(total)) - F.log2("n") + F.col("spelling") / F.col("n")).alias("code_bits"))
+    coded = join_large_small(cand.drop("spelling", "first"), bits, "item", codes, "n", total)
+    many = F.col("dialect") == _MANY
+    scored = coded.where(~many).groupBy("number", "dialect").agg((F.sum(F.col("code_bits") * F.col("times")) + F.first("overhead")).alias("bits"), F.first("n_items").alias("n_items"))
+    if not cand.where(many).isEmpty():
+        # one value's items, some tens for each of its own
+        lists = coded.where(many).groupBy("number").agg(F.collect_list(F.struct("item", "code_bits")).alias("items")).join(values.select("number", "value"), "number")
+        found = lists.select("number", _searched("value", "items").alias("s")).select("number", "s.dialect", "s.bits", "s.n_items")
+        scored = scored.unionByName(found)
     best = scored.groupBy("number").agg(F.min(F.struct(F.round("bits", 6).alias("bits"), -F.col("n_items"), "dialect")).alias("best"))
     return best.select("number", "best.dialect", "best.bits")
 
@@ -196,11 +272,11 @@ def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     empty items and stand-ins for missing values take no number; items are trimmed.
 
     Null and blank fields, and fields of one value, give no row; an empty table gives an empty result;
-    repeated rows give repeated results; other columns are not read. A text held by a large share of the
-    rows is counted before any shuffle and its parse sent to the rows, not the rows to it.
+    repeated rows give repeated results; other columns are not read. The table is read once; a text held by a
+    large share of the rows is counted before any shuffle and its parse sent to the rows, not the rows to it.
     """
     parts = [F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields]
-    long = (
+    long = cut(
         df.select(F.col(key), F.explode(F.array(*parts)).alias("p"))
         .select(key, "p.field_name", "p.value")
         .where(F.col("value").rlike(CANDIDATE) & ~is_stand_in(F.col("value")))
@@ -212,10 +288,10 @@ def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
         .join(values, "number")
         .withColumn("items", _names("value", "dialect"))
         .where(F.size("items") > 1)
-        .select("value", "items", "n")
+        .select("value", "items")
     )
     return (
-        join_large_small(long, parsed, "value", count="n", total=total)
+        join_large_small(long, parsed, "value", values, "n", total)
         .select(key, "field_name", F.posexplode("items").alias("item_no", "item"))
         .withColumn("item_no", F.col("item_no") + 1)
     )

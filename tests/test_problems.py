@@ -67,11 +67,44 @@ def test_every_parse_can_be_repeated(text):
         assert packed.parse(text, dialect) == items
 
 
-def test_hot_keys_join_like_any(spark, rows):
+@settings(max_examples=40, deadline=None)
+@given(st.text(alphabet="ab,;|/&+·\"'(", min_size=8, max_size=24), st.randoms(use_true_random=False))
+def test_search_finds_the_best_of_all_sets(text, r):
+    """Where sets are too many to write out, the search gives the description length of the best of all of them."""
+    readings = list(packed._readings(text))
+    bits = {"": 3.0}
+    for _, _, body, atoms, kinds in readings:
+        items = packed.possible_items(body, atoms, kinds)
+        bits |= {x: bits.get(x, r.randint(1, 60) / 2) for x in sorted(items)}
+        assert items >= {x for d in packed._sets(kinds) for x in packed._merge(body, atoms, d)}
+    want = []
+    for _, _, body, atoms, kinds in readings:
+        for d in packed._sets(kinds):
+            items = packed._merge(body, atoms, d)
+            want.append(round(sum(bits[x] for x in items or [""]) + packed._overhead(len(d), len(items)), 6))
+    limit, packed.ALL_SETS = packed.ALL_SETS, -1
+    try:
+        dialect, found, n = packed.best_of_many(text, bits)
+    finally:
+        packed.ALL_SETS = limit
+    assert found == min(want) and len(packed.parse(text, dialect)) == n
+
+
+def test_a_field_of_seven_kinds_of_delimiters(spark, rows):
+    data = [(i, f"Dungeons & Dragons; {x}") for i, x in enumerate(["Steam", "iOS", "GOG", "VR", "Mac", "Linux"])] + [(10 + i, f"Either/Or; {x}") for i, x in enumerate(["Steam", "iOS", "GOG", "VR"])]
+    data += [(99, "Dungeons & Dragons; Steam, iOS | GOG + VR · Mac • Linux, Either/Or")]
+    got = [t[3] for t in sorted(rows(packed.split_packed(spark.createDataFrame(data, "row_id int, p string"), "row_id", ["p"])), key=lambda t: t[2]) if t[0] == 99]
+    assert got == ["Dungeons & Dragons", "Steam", "iOS", "GOG", "VR", "Mac", "Linux", "Either/Or"]
+
+
+@pytest.mark.parametrize("share, limit", [(0.1, 1 << 20), (0.1, 0), (0.9999, 0)])
+def test_hot_keys_join_like_any(spark, rows, share, limit):
     large = spark.createDataFrame([("h", i) for i in range(50)] + [("c", 1), (None, 2), ("z", 3)], "k string, i int")
-    small = spark.createDataFrame([("h", "H", 50), ("c", "C", 1), ("q", "Q", 1)], "k string, v string, n int")
-    got = skew.join_large_small(large, small, "k", "n", 53, share=0.1)
-    assert rows(got) == rows(large.join(small.drop("n"), "k"))
+    small = spark.createDataFrame([("h", "H"), ("h", "H2"), ("c", "C"), ("q", "Q")], "k string, v string")
+    counts = large.groupBy("k").agg(F.count("*").alias("n"))
+    got = skew.join_large_small(large, small, "k", counts, "n", 53, share, limit)
+    assert got.columns == ["k", "i", "v"] and rows(got) == rows(large.join(small, "k"))
+    assert skew.join_large_small(large.limit(0), small, "k", counts.limit(0), "n", 1).count() == 0
 
 
 # --- timestamps
