@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.session import cut
@@ -14,21 +14,25 @@ from millrace.session import cut
 WINDOW = 12
 #: Edits allowed between two skeletons: this share of the longer one's length, and no more than so many.
 EDIT_SHARE, MOST_EDITS = 0.2, 4
+#: Edits allowed between the sorted letters of two skeletons, and the length from which swapped letters are told by them.
+BAG_EDITS, SWAPS_FROM = 2, 10
+#: Least share of a damaged title that must be left if day and company both agree.
+DAMAGED = 0.5
 #: Least confidence of a match by whole titles, and by a shortened title whose day is not known.
 LEAST, LEAST_SHORTENED = 0.45, 0.75
 #: Edges up to which a connected part of the graph is assigned by one task.
-LOCAL = 2000
+LOCAL = 20_000
 #: Weights of the field similarities.
-WEIGHTS = {"title": 0.55, "publisher": 0.15, "developer": 0.15, "day": 0.1, "genre": 0.05}
+WEIGHTS = {"title": 0.55, "publisher": 0.15, "developer": 0.15, "day": 0.1, "genre": 0.05, "spelling": 0.15, "platform": 0.05}
 
 
-def _positions(entries: DataFrame, order: str) -> DataFrame:
-    """``entries`` with ``pos``, their place in the global order of ``order``: a range-partitioned sort, no single task sorts all.
+def _positions(entries: DataFrame, order: list[str]) -> DataFrame:
+    """``entries`` with ``pos``, their place in the total order of ``order``: a range-partitioned sort, no single task sorts all.
 
     Sorted rows are written before they are counted, so that places stay the same if a part is computed again; the
     parts' sizes, as many numbers as there are partitions, give their offsets.
     """
-    placed = cut(entries.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = cut(entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     offsets, total = [], 0
@@ -40,42 +44,59 @@ def _positions(entries: DataFrame, order: str) -> DataFrame:
 
 
 def neighbours(left: DataFrame, right: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Pairs of entries that stand within ``window`` places of each other in some order: ``l``, ``r`` (each side's struct).
+    """Pairs of entries that stand within ``window`` places of each other in some order: ``l``, ``r`` (each side's struct) and ``k``, the order.
 
-    Both sides have ``orders`` (array of composite sort texts; a null has no place) and ``e`` (what identifies and describes the entry). All
-    orders are laid behind one another and sorted once. Pairs meet by an equi-join on places cut into blocks of
-    ``window``: every block holds at most ``window`` rows, so no key can become hot, and no block is all pairs of a group.
+    Both sides have ``e`` (what identifies the entry, of one type on both sides) and ``orders``: an array of structs of
+    ``must``, on which both of a pair agree, and ``text``, by which those of one ``must`` are sorted; a null has no place.
+    All orders are laid behind one another and sorted once; equal texts are put in order by side and entry, so that
+    places do not depend on chance. Pairs meet by an equi-join on places cut into blocks of ``window``: every block holds
+    at most ``window`` rows, so no key can become hot, and no block is all pairs of a group.
     """
     def laid(df: DataFrame, side: int) -> DataFrame:
-        return df.select(F.lit(side).alias("side"), "e", F.posexplode("orders").alias("k", "o")).select("side", "e", F.concat(F.col("k").cast("string"), F.lit(":"), "o").alias("o")).where("o is not null")
-
-    placed = _positions(
-        laid(left, 0).select("side", F.col("e").alias("l"), F.lit(None).cast(right.schema["e"].dataType).alias("r"), "o").unionByName(
-            laid(right, 1).select("side", F.lit(None).cast(left.schema["e"].dataType).alias("l"), F.col("e").alias("r"), "o")
-        ),
-        "o",
-    )
+        return df.select(F.lit(side).alias("side"), "e", F.posexplode("orders").alias("k", "o")).where("o is not null").select("side", "e", "k", "o.must", "o.text")
+
+    placed = _positions(laid(left, 0).unionByName(laid(right, 1)), ["k", "must", "text", "side", "e"])
     block = F.floor(F.col("pos") / window)
-    a = placed.where("side = 0").select("l", F.col("pos").alias("p"), block.alias("b"))
-    b = placed.where("side = 1").select("r", F.col("pos").alias("q"), F.explode(F.array(block - 1, block, block + 1)).alias("b"))
-    return a.join(b, "b").where(F.abs(F.col("p") - F.col("q")) <= window).select("l", "r")
+    a = placed.where("side = 0").select(F.col("e").alias("l"), F.col("pos").alias("p"), block.alias("b"), "k", F.col("must").alias("m"))
+    b = placed.where("side = 1").select(F.col("e").alias("r"), F.col("pos").alias("q"), F.explode(F.array(block - 1, block, block + 1)).alias("b"), F.col("k").alias("k2"), F.col("must").alias("m2"))
+    return a.join(b, "b").where((F.abs(F.col("p") - F.col("q")) <= window) & (F.col("k") == F.col("k2")) & (F.col("m") == F.col("m2"))).select("l", "r", "k")
 
 
 def title_similarity(a: Column, b: Column) -> Column:
     """1 less the share of edits between two skeletons; null beyond the allowed edits.
 
     Slips of the keyboard drop, double or swap letters and seldom exchange them, so beside the edits of the text those
-    of its sorted letters are held small; where these agree, swapped letters may make up more of a short title's edits.
+    of its sorted letters (its bag) are held to ``BAG_EDITS``: a lost and a doubled letter. A swap is two edits of the
+    text and none of the bag, so from ``SWAPS_FROM`` letters on the allowed share does not count where the bags differ
+    by one letter at most.
     """
     longer = F.greatest(F.length(a), F.length(b))
     allowed = F.least(F.lit(MOST_EDITS), F.greatest(F.lit(1), F.floor(longer * EDIT_SHARE).cast("int")))
     edits = F.levenshtein(a, b, MOST_EDITS)
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     bag = F.levenshtein(letters(a), letters(b))
-    near = (edits >= 0) & ((edits == 0) | ((edits <= allowed) & (bag <= 2)) | ((longer >= 10) & (bag <= 1)))
+    near = (edits >= 0) & ((edits == 0) | ((edits <= allowed) & (bag <= BAG_EDITS)) | ((longer >= SWAPS_FROM) & (bag <= 1)))
     return F.when(near, 1 - edits / longer)
 
 
+def damaged_similarity(a: Column, b: Column) -> Column:
+    """1 less the share of edits between two skeletons, of ``DAMAGED`` at least; else null."""
+    share = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+    return F.when(share >= DAMAGED, share)
+
+
+def spelling_similarity(a: Column, b: Column) -> Column:
+    """1 less the share of edits between two titles as they are keyed."""
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
+def overlap_similarity(a: Column, b: Column) -> Column:
+    """1 if two packed fields share a word, else 0.5, since offers leave out systems; null if either is unknown."""
+    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) > 1)
+    known = (F.size(words(a)) > 0) & (F.size(words(b)) > 0)
+    return F.when(known, F.when(F.arrays_overlap(words(a), words(b)), 1.0).otherwise(0.5))
+
+
 def company_similarity(a: Column, b: Column) -> Column:
     """1 if the same, 0.8 if one is the other's beginning, else 0; null if either is unknown."""
     part = F.concat(a, F.lit(" ")).startswith(F.concat(b, F.lit(" "))) | F.concat(b, F.lit(" ")).startswith(F.concat(a, F.lit(" ")))
@@ -163,9 +184,11 @@ def auction(edges: DataFrame, left: str, right: str, confidence: str, step: floa
             open_edges = open_edges.withColumn("_price", F.lit(0.0))
         profit = (F.col(confidence) - F.coalesce(F.col("_price"), F.lit(0.0))).alias("_profit")
         offers = open_edges.select(left, right, F.coalesce(F.col("_price"), F.lit(0.0)).alias("_price"), profit).where("_profit > 0")
-        ranked = offers.groupBy(left).agg(F.max(F.struct("_profit", (-F.col(right)).alias("r"), "_price")).alias("_best"), F.sort_array(F.collect_list("_profit"), asc=False).alias("_all"))
-        lead = F.col("_best._profit") - F.coalesce(F.get(F.col("_all"), 1), F.lit(0.0))
-        bids = ranked.select(left, (-F.col("_best.r")).alias(right), (F.col("_best._price") + lead + step).alias("_price"))
+        place = F.row_number().over(Window.partitionBy(left).orderBy(F.col("_profit").desc(), right))
+        top = offers.withColumn("_place", place).where("_place <= 2")  # two of each partition's rows move
+        first, second = F.col("_place") == 1, F.col("_place") == 2
+        ranked = top.groupBy(left).agg(*(F.max(F.when(first, F.col(c))).alias(c) for c in (right, "_price", "_profit")), F.max(F.when(second, F.col("_profit"))).alias("_second"))
+        bids = ranked.select(left, right, (F.col("_price") + F.col("_profit") - F.coalesce("_second", F.lit(0.0)) + step).alias("_price"))
         won = bids.groupBy(right).agg(F.max(F.struct("_price", (-F.col(left)).alias("l"))).alias("_w")).select(right, (-F.col("_w.l")).alias(left), F.col("_w._price").alias("_price"))
         won = cut(won)
         if won.isEmpty():

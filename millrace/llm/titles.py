@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -14,8 +15,9 @@ _STORES = (
     r"steam|gog(?:\.com)?|epic(?: games?)?(?: store)?|itch\.?io|indiegala|drm[- ]free|xbox(?: one)?|pc|playstation(?: ?[45])?|psn?[45]?|nintendo(?: switch)?|switch|origin|ea(?: app)?"
     r"|uplay|ubisoft(?: connect)?|humble(?: bundle)?|microsoft(?: store)?|android|ios|google play|prime gaming|amazon|fanatical|battle\.?net|mac|linux|vr|web browser"
 )
+#: What may trail behind a title or note.
+_ENDING = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000.!?…-–—:"
 _NOTES = [
-    re.compile(r"[\s.!…\-–—:]+\Z"),
     re.compile(r"\s*\bgiveaway\Z"),
     re.compile(r"\s*[-–—]?\s*\bkeys?\Z"),
     re.compile(rf"\s*[(\[]\s*(?:{_STORES})\s*[)\]]\Z"),
@@ -29,6 +31,8 @@ _MISREAD = str.maketrans("015|", "olsl")
 
 
 def _folded(title: str) -> str:
+    if title.isascii():
+        return title.lower()
     t = unicodedata.normalize("NFKD", _SYMBOLS.sub(" ", title))
     return "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").lower()
 
@@ -39,21 +43,17 @@ def _skeleton(tokens: list[str]) -> str:
     return re.sub(r"(.)\1+", r"\1", joined)
 
 
-def title_forms(title: str | None) -> dict | None:
-    """``key`` (spellings of one title share it), ``marker`` (sequel or reissue), ``skeleton``, ``bases`` and ``tokens``; None if blank.
-
-    Case, accents, width, punctuation, store notes, a leading or trailing article, "&" for "and" and the writing of
-    sequel numbers make no difference to the key. ``bases`` are skeletons of shorter titles under which other
-    catalogues may list the game: what follows "of", or its first two words. ``tokens`` are skeletons of its longest words.
-    """
-    if title is None:
-        return None
+@functools.lru_cache(maxsize=100_000)
+def _core(title: str) -> tuple[str, str] | None:
+    """What is left of a title without notes, article, punctuation and mark, and its mark (sequel or reissue)."""
     t = _folded(title).strip()
     before = None
     while before != t:
         before = t
-        for note in _NOTES:
-            t = note.sub("", t)
+        t = t.rstrip(_ENDING)
+        if t.endswith("giveaway") or t.endswith(("key", "keys")) or t.endswith((")", "]")):
+            for note in _NOTES:
+                t = note.sub("", t)
     t = re.sub(r"\s*&\s*", " and ", t)
     t = re.sub(r",\s*the\Z", "", t)
     t = re.sub(r"[^\w]+|_+", " ", t).strip()
@@ -67,6 +67,26 @@ def title_forms(title: str | None) -> dict | None:
         t = t[: m.start()]
     elif m := re.search(r"(?<=\w\w\w)(remastered|rernastered|remake)\Z", t):
         marker, t = "remastered" if m[1][2] in "mr" and m[1] != "remake" else m[1], t[: m.start()]
+    return t, marker
+
+
+def title_key(title: str | None) -> str | None:
+    """The key alone of ``title_forms``."""
+    core = _core(title) if title is not None else None
+    return f"{core[0]} {core[1]}".strip() if core else None
+
+
+def title_forms(title: str | None) -> dict | None:
+    """``key`` (spellings of one title share it), ``marker`` (sequel or reissue), ``skeleton``, ``bases`` and ``tokens``; None if blank.
+
+    Case, accents, width, punctuation, store notes, a leading or trailing article, "&" for "and" and the writing of
+    sequel numbers make no difference to the key. ``bases`` are skeletons of shorter titles under which other
+    catalogues may list the game: what follows "of", or its first two words. ``tokens`` are skeletons of its longest words.
+    """
+    core = _core(title) if title is not None else None
+    if core is None:
+        return None
+    t, marker = core
     tokens = t.split()
     bases = set()
     if "of" in tokens[:-2]:
@@ -99,7 +119,7 @@ def forms_of(title: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(StringType())
 def key_of(title: pd.Series) -> pd.Series:
     """The key alone."""
-    return pd.Series([f["key"] if (f := title_forms(t)) else None for t in title], dtype=object)
+    return pd.Series([title_key(t) for t in title], dtype=object)
 
 
 _LEGAL = re.compile(r"[\s,.]+(?:inc|gmbh|ltd|llc|co|corp|s a|ag|limited|company)\Z")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.game_matching import match_games
 from millrace.llm.matching import assign, best_pairs, components, neighbours, title_similarity
-from millrace.llm.survivors import overtaken_values, surviving_values, usable_text, value_levels, value_precedence
+from millrace.llm.survivors import overtaken_values, surviving_values, usable_text, value_precedence
 from millrace.llm.titles import company_form, title_forms
 
 ROWS = "g string, row_id bigint, at string, status string, value string"
@@ -48,8 +48,6 @@ def test_learned_precedence_orders_undated_rows(spark):
     long = df.select("g", "at", F.lit("status").alias("field_name"), F.col("status").alias("value"))
     pairs = {(x["earlier"], x["later"]) for x in value_precedence(long, "g", "at").collect()}
     assert pairs == {("Upcoming", "Active"), ("Active", "Expired")}
-    levels = {x["value"]: x["level"] for x in value_levels(value_precedence(long, "g", "at")).collect()}
-    assert levels == {"Upcoming": 0, "Active": 1, "Expired": 2}
     assert surviving_values(df.limit(0), "g", "row_id", "at", {"status": usable_text(F.col("status"))}, True).count() == 0
 
 
@@ -70,10 +68,27 @@ def test_groups_of_many_values_are_ordered(spark):
 
 
 def test_neighbours_meet_across_partitions(spark):
-    left = spark.range(500).select(F.struct("id").alias("e"), F.array(F.format_string("%05d", "id")).alias("orders"))
-    right = spark.range(500).select(F.struct("id").alias("e"), F.array(F.format_string("%05d", "id")).alias("orders"))
-    got = {(r["l"]["id"], r["r"]["id"]) for r in neighbours(left, right, 4).collect()}
+    entry = F.array(F.struct(F.lit("m").alias("must"), F.format_string("%05d", "id").alias("text")))
+    side = spark.range(500).select(F.struct("id").alias("e"), entry.alias("orders"))
+    got = {(r["l"]["id"], r["r"]["id"]) for r in neighbours(side, side, 4).collect()}
     assert all((i, i) in got for i in range(500)) and len(got) < 500 * 9
+    other = side.select("e", F.transform("orders", lambda o: F.struct(F.lit("n").alias("must"), o["text"].alias("text"))).alias("orders"))
+    assert neighbours(side, other, 4).count() == 0 and neighbours(side.limit(0), side, 4).count() == 0
+
+
+def test_a_damaged_title_is_found_by_company_and_day(spark):
+    enriched = [(1, "Gonelvo Lavabalem Online", "Acme Arts", "Acme Arts", "RPG", "2010-08-21", None, None, None), (2, "Pale Arena of Tadorkev", "Acme Arts", None, "RPG", "2011-01-02", None, None, None)]
+    contrast = [(201, "Govo Lavnlem Onl", "Acme Arts Ltd", "Acme Arts", "RPG", "2010-08-21"), (202, "Govo Lavnlem Onl", "Other", "Other", "RPG", "2010-08-21"), (203, "Xyz", "Acme Arts", None, "RPG", "2011-01-02")]
+    got = [(r["row_id"], r["source_id"]) for r in match_games(*(spark.createDataFrame(d, s) for d, s in ((enriched, E), ([], O), (contrast, M)))).collect()]
+    assert got == [(1, 201)]
+
+
+def test_a_title_that_most_rows_bear(spark):
+    """Rows, offers and links of one hot title are joined by broadcast or salted, and come out the same."""
+    enriched = [(i, "Gonelvo Lavabalem" if i % 3 else f"Tadorkev Vovel{i}qua", None, None, None, None, None, None, None) for i in range(300)]
+    offers = [(1000 + i, "Gonelvo Lavabalem (Steam)", "Game", "") for i in range(9)]
+    frames = [spark.createDataFrame(d, s) for d, s in ((enriched, E), (offers, O), ([], M))]
+    assert match_games(*frames).count() == 200 * 9
 
 
 @pytest.mark.parametrize("seed", range(3))
