@@ -67,5 +67,5 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
         header = f.readline().strip().split(",")
     if missing := [c for c in MAPPING_FIELDS if c not in header]:
         raise SourceError(f"{path} lacks the columns {', '.join(missing)}")
-    frame = spark.read.option("header", True).option("escape", '"').csv(path).select(*MAPPING_FIELDS).fillna("")
+    frame = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).select(*MAPPING_FIELDS).fillna("")
     return frame.withColumn("seq", F.monotonically_increasing_id())

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -75,6 +76,12 @@ def read_sqlite(spark: SparkSession, path: str, table: str, schema: StructType |
     return (reader.schema(schema) if schema is not None else reader).load()
 
 
+def sqlite_keys(spark: SparkSession, path: str, table: str, key: str) -> DataFrame:
+    """The distinct keys of a table, null left out; only the key column is read."""
+    kind = dict(read_sqlite(spark, path, table).dtypes)[key]
+    return read_sqlite(spark, path, table, f"`{key}` {kind}").where(F.col(key).isNotNull()).distinct()
+
+
 def write_sqlite(df: DataFrame, path: str, table: str, key: str) -> int:
     """Keyed upsert of ``df`` into a SQLite file in one transaction, as an export; rows without key are passed over.
 
