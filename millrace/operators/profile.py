@@ -66,19 +66,26 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def full_profile(df: DataFrame, key: str, date: str | None = None, categories: tuple[str, ...] = ()) -> DataFrame:
     """Everything above in one row: sizes, sums of nulls and blanks, duplicates, key, date and categories.
 
-    The plain counts are one aggregation without a shuffle of rows; duplicates and keys are each pre-aggregated.
-    An empty table has zeros and no key range.
+    Two scans: whole rows are counted once, and feed all sums; the key's and the categories' values are counted
+    together, unpivoted, and feed the numbers of distinct ones. An empty table has zeros and no key range.
     """
-    nulls = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
-    blanks = sum((F.count_if(is_blank(F.col(c))) for c in text_columns(df)), F.lit(0))
-    cheap = [F.lit(len(df.columns)).alias("columns"), nulls.alias("total_nulls"), blanks.alias("total_blanks")]
+    n = fresh("_n", df)
+    groups = df.groupBy(*df.columns).agg(F.count("*").alias(n))
+    times = lambda c: F.coalesce(F.sum(c.cast("long") * F.col(n)), F.lit(0).cast("long"))
+    nulls = sum((F.col(c).isNull().cast("long") for c in df.columns), F.lit(0))
+    blanks = sum((is_blank(F.col(c)).cast("long") for c in text_columns(df)), F.lit(0))
+    sums = [F.count("*").alias("rows_distinct"), times(F.lit(1)).alias("_rows"), F.lit(len(df.columns)).alias("columns"), times(nulls).alias("total_nulls"), times(blanks).alias("total_blanks")]
     if date:
         good = strict_date(F.col(date)).isNotNull() if dict(df.dtypes)[date] == "string" else F.col(date).isNotNull()
-        cheap += [F.count_if(good).alias("dates_valid"), F.count_if(F.col(date).isNotNull() & ~good).alias("dates_invalid")]
-    parts = [duplicate_rows(df).drop("rows"), df.agg(*cheap), key_metrics(df, key)]
-    if categories:
-        parts.append(distinct_counts(df, list(categories)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, how="cross")  # rows of metrics, one each
-    return out
+        sums += [times(good).alias("dates_valid"), times(F.col(date).isNotNull() & ~good).alias("dates_invalid")]
+    whole = groups.agg(*sums, F.min(key).alias("least_key"), F.max(key).alias("greatest_key"))
+    names = [key, *categories]
+    parts = [F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(names)]
+    values = df.select(F.explode(F.array(*parts)).alias("p")).select("p.i", "p.v").groupBy("i", "v").agg(F.lit(1).alias("_one"))
+    distinct = values.agg(*(F.count_if(F.col("i") == i).alias("keys" if not i else f"distinct_{c}") for i, c in enumerate(names)))
+    both = whole.join(distinct, how="cross")  # rows of metrics, one each
+    dates = ["dates_valid", "dates_invalid"] if date else []
+    return both.select(
+        "rows_distinct", (F.col("_rows") - F.col("rows_distinct")).alias("duplicates"), "columns", "total_nulls", "total_blanks", *dates, F.col("_rows").alias("rows"),
+        "keys", (F.col("_rows") - F.col("keys")).alias("surplus_rows"), "least_key", "greatest_key", *(f"distinct_{c}" for c in categories),
+    )

@@ -1,3 +1,6 @@
+import math
+import random
+
 import datetime
 
 import pytest
@@ -57,6 +60,16 @@ def test_outliers(spark):
     assert outliers.outliers(df, ["v"], approximate=True).first()["n_outliers"] == 1
 
 
+@pytest.mark.parametrize("leaf", [1, 50, 1_000_000])
+def test_quartiles_however_small_a_bracket_must_be(spark, leaf):
+    r = random.Random(leaf)
+    data = [(r.gauss(0, 1), float(r.choice([1, 1, 1, 2, 9])), None if r.random() < 0.5 else float(i)) for i in range(5000)]
+    got = outliers.exact_quartiles(spark.createDataFrame(data, "a double, b double, c double"), ["a", "b", "c"], leaf)
+    for i, c in enumerate("abc"):
+        values = sorted(d[i] for d in data if d[i] is not None)
+        assert got[c] == tuple(values[math.ceil(len(values) * q) - 1] for q in (0.25, 0.75))
+
+
 def test_checks_and_score(spark, dirty):
     types = {"id": "int", "release_date": "date"}
     bad = quality.final_checks(dirty, "id", ["id", "title"], types).first()
