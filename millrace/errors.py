@@ -1,5 +1,8 @@
 """Errors, each of which ends a pipeline with exit code 1."""
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+
 
 class MillraceError(Exception):
     """The root of all."""
@@ -23,3 +26,7 @@ class CheckError(MillraceError):
 
 class EnrichmentError(MillraceError):
     """An enrichment could not be made."""
+
+
+#: What ends a pipeline with exit code 1: errors of this package, of Spark on either side, and of the file system.
+FAILURES = (MillraceError, PySparkException, Py4JError, OSError)

@@ -51,6 +51,21 @@ def most_recent(df: DataFrame, key: str, priority: Column, ties: list[Column]) -
     return best.unionByName(df.where(~named))
 
 
+def source_summary(df: DataFrame, key: str) -> DataFrame:
+    """One row about a source before one row per derived key is taken: ``records``, ``keyed``, ``unique_keys``, ``duplicate_keys``, ``surplus_rows``, ``without_key``.
+
+    A duplicate key is one that more than one record bears; rows with an empty or null key belong to none.
+    """
+    named = F.col(key).isNotNull() & (F.col(key) != "")
+    per_key = df.groupBy(F.when(named, F.col(key)).alias("_k")).agg(F.count("*").alias("_n"))
+    known, zero = F.col("_k").isNotNull(), F.lit(0).cast("long")
+    out = per_key.agg(
+        F.coalesce(F.sum("_n"), zero).alias("records"), F.coalesce(F.sum(F.when(known, F.col("_n"))), zero).alias("keyed"),
+        F.count("_k").alias("unique_keys"), F.count_if(known & (F.col("_n") > 1)).alias("duplicate_keys"),
+    )
+    return out.withColumns({"surplus_rows": F.col("keyed") - F.col("unique_keys"), "without_key": F.col("records") - F.col("keyed")})
+
+
 def recency(c: Column) -> Column:
     """A text date or time as a timestamp for ordering; what is neither becomes null, and so comes last."""
     return F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(c, F.lit("yyyy-MM-dd")))

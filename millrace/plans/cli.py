@@ -7,7 +7,7 @@ import logging
 import sys
 
 from millrace.plans import clean, enrich, ingest
-from millrace.session import local_session, ship
+from millrace.session import local_session, ship, stop
 from millrace.sources.fetch import file_fetcher, http_fetcher
 
 log = logging.getLogger("millrace")
@@ -21,6 +21,7 @@ def main(arguments: list[str] | None = None) -> int:
         command = commands.add_parser(name)
         for o in options:
             command.add_argument(o)
+        command.add_argument("--stop", action="store_true", help="stop the session at the end")
         command.add_argument("--files", action="store_true", help="addresses are local paths")
     a = parser.parse_args(arguments)
     fetch = file_fetcher() if a.files else http_fetcher()
@@ -32,7 +33,11 @@ def main(arguments: list[str] | None = None) -> int:
         result = clean.run(spark, a.store, a.folder)
     else:
         result = enrich.run(spark, a.clean, a.folder, a.offers, a.contrast, a.mapping, fetch)
-    log.info("%s: %s", a.command, result)
+    for name, value in vars(result).items():
+        log.info("%s: %s %s", a.command, name, value)
+    log.info("%s: %s", a.command, {0: "done", 1: "failed", 2: "done with differences or issues"}[result.code])
+    if a.stop:
+        stop(spark)
     return result.code
 
 

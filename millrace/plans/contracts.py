@@ -13,7 +13,7 @@ CONTRAST_FIELDS = ("id", "title", "thumbnail", "short_description", "game_url",
 CRITICAL = ("id", "title")
 IMPORTANT = ("genre", "platform", "publisher", "developer")
 DESCRIPTIVE = ("thumbnail", "short_description", "game_url", "freetogame_profile_url")
-CATEGORIES = ("genre", "platform", "publisher", "developer")
+CATEGORIES = IMPORTANT
 UNKNOWN, NOT_AVAILABLE = "Unknown", "Not Available"
 PLACEHOLDERS = {c: UNKNOWN for c in IMPORTANT} | {c: NOT_AVAILABLE for c in DESCRIPTIVE}
 
@@ -29,7 +29,7 @@ CONTRAST_COLUMNS = {
     "id": "mmobomb_id", "genre": "mmobomb_genre", "platform": "mmobomb_platform", "publisher": "mmobomb_publisher", "developer": "mmobomb_developer",
     "release_date": "mmobomb_release_date", "profile_url": "mmobomb_profile_url",
 }
-COMPARED = ("genre", "platform", "publisher", "developer")
+COMPARED = IMPORTANT
 OFFER_WRAPPER, CONTRAST_WRAPPER = "giveaways", "games"
 
 

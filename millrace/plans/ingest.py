@@ -8,15 +8,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.errors import MillraceError
+from millrace.errors import FAILURES
 from millrace.operators.compare import audit, audit_verdict, listed_keys
 from millrace.operators.dedup import upsert
-from millrace.operators.sample import seeded_sample
+from millrace.operators.sample import write_sample
 from millrace.plans import contracts as C
 from millrace.plans.report import flat, render
 from millrace.sources.fetch import Fetcher, http_fetcher, land
 from millrace.sources.files import field_drift, read_json_records
-from millrace.sources.sinks import make_folders, read_snapshot, swap_snapshot, write_csv, write_text
+from millrace.sources.sinks import make_folders, read_snapshot, swap_snapshot, write_text
 
 SUCCESS, FAILURE, DIFFERENCES = 0, 1, 2
 
@@ -59,7 +59,7 @@ def run(spark: SparkSession, address: str, folder: str, fetch: Fetcher | None =
         swap_snapshot(stamped.select(*C.CATALOGUE_FIELDS, "ingested_at"), store)
 
         stored = read_snapshot(spark, store).drop("ingested_at")
-        write_csv(seeded_sample(stored, C.KEY), str(root / "sample" / "catalogue_sample.csv"))
+        write_sample(stored, C.KEY, str(root / "sample" / "catalogue_sample.csv"))
         last, _ = upsert(spark.createDataFrame([], C.CATALOGUE), good, C.KEY, [F.col("_ord").desc()])
         fields = list(C.CATALOGUE_FIELDS[1:])
         verdict = audit_verdict(last, stored, C.KEY, fields).first()
@@ -74,5 +74,5 @@ def run(spark: SparkSession, address: str, folder: str, fetch: Fetcher | None =
         )
         write_text(text, str(root / "report" / "audit.txt"))
         return IngestResult(code, stored.count(), rejected)
-    except MillraceError as e:
+    except FAILURES as e:
         return IngestResult(FAILURE, message=str(e))

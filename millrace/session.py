@@ -27,6 +27,12 @@ def local_session(app: str = "millrace", cores: str = "*", **conf: str) -> Spark
     return builder.getOrCreate()
 
 
+def stop(spark: SparkSession) -> None:
+    """Release what is cached and stop the session."""
+    spark.catalog.clearCache()
+    spark.stop()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per Spark context.
 

@@ -4,13 +4,15 @@ import http.server
 import json
 import threading
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.errors import SourceError, StoreError
+from millrace.errors import SampleError, SourceError, StoreError
+from millrace.operators import sample
 from millrace.plans import clean, contracts, enrich, ingest
-from millrace.sources import fetch, files, sinks, sqlite
-from millrace.streaming.upserts import upsert_stream
+from millrace.sources import fetch, files, records, sinks, sqlite
+from millrace.streaming.upserts import read_upserted, upsert_batch, upsert_stream
 
 GAMES = [
     {"id": 1, "title": "  Alpha  ", "thumbnail": "t", "short_description": "Ñandú", "game_url": "u", "genre": "RPG ", "platform": "PC", "publisher": "P", "developer": "D", "release_date": "2020-01-15", "freetogame_profile_url": "f", "new": 1},
@@ -94,14 +96,50 @@ def test_sqlite(spark, tmp_path):
             sqlite.read_sqlite(spark, *args)
 
 
+def test_snapshot_survives_a_stop_at_every_step(spark, tmp_path, monkeypatch):
+    """Whatever step a writer stops at, a reader has the old table or the new one, and the next writer goes on."""
+    path = str(tmp_path / "t")
+    seen = lambda: [r[0] for r in sinks.read_snapshot(spark, path).collect()]
+    assert sinks.read_snapshot(spark, path) is None
+    for n in (1, 2, 3):
+        sinks.swap_snapshot(spark.range(n, n + 1), path)
+    assert seen() == [3]
+
+    class Stop(BaseException):
+        """As if the process were killed: no handler runs."""
+
+    def stop(*_):
+        raise Stop
+
+    for step, left in (("complete", [3]), ("remove", [5])):
+        with monkeypatch.context() as m, pytest.raises(Stop):
+            m.setattr(sinks, step, stop)
+            sinks.swap_snapshot(spark.range(5, 6), path)
+        assert seen() == left
+    with pytest.raises(StoreError):
+        sinks.swap_snapshot(spark.range(7).select(F.raise_error(F.lit("no"))), path)
+    assert seen() == [5]
+    sinks.swap_snapshot(sinks.read_snapshot(spark, path).select(F.col("id") + 1), path)
+    sinks.swap_snapshot(sinks.read_snapshot(spark, path).select(F.col("(id + 1)") + 1), path)
+    assert seen() == [7] and len(sinks.versions(spark, path)[0]) == 2 and not sinks.versions(spark, path)[1]
+
+
 def test_stream_upsert(spark, tmp_path):
-    names = "k bigint, v string, n bigint"
-    spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], names).coalesce(1).write.parquet(str(tmp_path / "in"))
-    run = lambda: upsert_stream(spark.readStream.schema(names).parquet(str(tmp_path / "in")), str(tmp_path / "t"), "k", [F.col("n").desc()], str(tmp_path / "c")).awaitTermination()
-    run()
-    spark.createDataFrame([(2, "d", 0), (3, "e", 1)], names).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    run()
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "b"), (2, "d"), (3, "e")]
+    names = "k bigint, v string, _n bigint"
+    at = str(tmp_path / "t")
+
+    def send(rows):
+        spark.createDataFrame(rows, names).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        upsert_stream(spark.readStream.schema(names).parquet(str(tmp_path / "in")), at, "k", ["_n"], str(tmp_path / "c"), parts=4).awaitTermination()
+        return sorted(tuple(r) for r in read_upserted(spark, at).collect())
+
+    assert send([(1, "a", 1), (1, "b", 5), (2, "c", 1), (None, "x", 1)]) == [(1, "b"), (2, "c")]
+    assert send([(2, "d", 1), (3, "e", 1), (1, "late", 3)]) == [(1, "b"), (2, "d"), (3, "e")]  # a late row does not replace a newer one
+    again = spark.createDataFrame([(2, "d", 1), (3, "e", 1)], names)
+    for _ in range(3):
+        upsert_batch(again, at, "k", ["_n"], 4)
+    assert sorted(tuple(r) for r in read_upserted(spark, at).collect()) == [(1, "b"), (2, "d"), (3, "e")]
+    upsert_batch(again.limit(0), at, "k", ["_n"], 4)
 
 
 def test_pipelines(spark, tmp_path):
@@ -117,7 +155,7 @@ def test_pipelines(spark, tmp_path):
 
     done = clean.run(spark, lake + "/store", out)
     assert (done.code, done.rows, done.score) == (0, 3, 100.0)
-    rows = {r["id"]: r for r in spark.read.parquet(out + "/clean").collect()}
+    rows = {r["id"]: r for r in sinks.read_snapshot(spark, out + "/clean").collect()}
     assert rows[1]["title"] == "Alpha" and rows[1]["release_year"] == 2020 and rows[2]["release_date"] is None
     assert rows[2]["publisher"] == "Unknown" and rows[2]["short_description"] == "Not Available"
     assert clean.run(spark, str(tmp_path / "nowhere"), out).code == 1
@@ -125,13 +163,65 @@ def test_pipelines(spark, tmp_path):
     (tmp_path / "map.csv").write_text("target_title,offers_title,contrast_title,method\nBeta,,Bravo,manual\n", encoding="utf-8")
     got = enrich.run(spark, out + "/clean", out, write(tmp_path / "o.json", OFFERS), write(tmp_path / "c.json", CONTRAST), str(tmp_path / "map.csv"), get)
     assert (got.code, got.rows, got.offers_matched, got.contrast_matched) == (0, 3, 1, 1)
-    final = {r["id"]: r for r in spark.read.parquet(out + "/enriched").collect()}
+    final = {r["id"]: r for r in sinks.read_snapshot(spark, out + "/enriched").collect()}
     assert len(final[1].asDict()) == 33 and final[1]["gamerpower_id"] == 11 and final[1]["genre_match"] is None
     assert final[2]["mmobomb_id"] == 20 and final[2]["genre_match"] is True and final[2]["publisher_match"] is False
     assert "lineage" in (tmp_path / "out" / "report" / "enrichment.txt").read_text().lower()
     assert enrich.run(spark, str(tmp_path / "nowhere"), out, "", "", "", get).code == 1
 
 
+def test_records_and_pandas(spark):
+    schema = "id bigint, title string, at date"
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(schema)
+    got = records.from_records(spark, [{"id": 1, "title": "a", "new": 5}, {"title": None}], schema)
+    assert [tuple(r) for r in got.collect()] == [(1, "a", None), (None, None, None)]
+    with pytest.raises(SourceError):
+        records.from_records(spark, [{"id": "one"}], schema)
+    table = pd.DataFrame({"title": ["a", None, float("nan")], "id": [1, None, 3]})
+    assert [tuple(r) for r in records.from_pandas(spark, table, schema).collect()] == [(1, "a", None), (None, None, None), (3, None, None)]
+    assert records.from_pandas(spark, table.iloc[:0], schema).count() == 0
+
+
+def test_samples(spark, tmp_path):
+    df = spark.range(30).select(F.col("id"), F.lit(" x ").alias("t"))
+    got = sample.write_sample(df, "id", str(tmp_path / "s.csv"), 5)
+    assert (got.asked, got.of, got.rows) == (5, 30, 5) and (tmp_path / "s.csv").read_text().count("\n") == 6
+    for frame, n in ((df.limit(0), 5), (df, 0)):
+        with pytest.raises(SampleError):
+            sample.write_sample(frame, "id", str(tmp_path / "e.csv"), n)
+
+
+def test_other_entries_to_the_pipelines(spark, tmp_path):
+    """Cleaning starts from SQLite, enrichment from CSV; issues, summaries and errors come out."""
+    get = fetch.file_fetcher()
+    rows = [{k: g.get(k) for k in contracts.CATALOGUE_FIELDS} for g in GAMES if g["id"] and g["title"]]
+    store = str(tmp_path / "g.db")
+    sqlite.write_sqlite(records.from_records(spark, rows, contracts.CATALOGUE).dropDuplicates(["id"]), store, clean.SQLITE_TABLE, "id")
+    assert sorted(r[0] for r in sqlite.sqlite_keys(spark, store, clean.SQLITE_TABLE, "id").collect()) == [1, 2, 3]
+    out = str(tmp_path / "out")
+    assert (clean.run(spark, store, out).code, clean.run(spark, str(tmp_path / "no.db"), out).code) == (0, 1)
+    sinks.write_csv(sinks.read_snapshot(spark, out + "/clean"), str(tmp_path / "base.csv"))
+    offers, contrast = write(tmp_path / "o.json", OFFERS), write(tmp_path / "c.json", CONTRAST)
+    got = enrich.run(spark, str(tmp_path / "base.csv"), out, offers, contrast, str(tmp_path / "none.csv"), get)
+    assert (got.code, got.rows, got.issues) == (0, 3, ())
+    of = got.sources[0]
+    assert (of.records, of.unique_keys, of.duplicate_keys, of.surplus_rows, of.without_key, of.matched, of.unmatched) == (3, 1, 1, 1, 1, 1, 2)
+    text = (tmp_path / "out" / "report" / "enrichment.txt").read_text().lower()
+    assert "issues" in text and "duplicate_keys" in text
+    twice = sinks.read_snapshot(spark, out + "/clean")
+    sinks.swap_snapshot(twice.unionByName(twice.where("id = 1")), str(tmp_path / "twice"))
+    got = enrich.run(spark, str(tmp_path / "twice"), out, offers, contrast, str(tmp_path / "none.csv"), get)
+    assert got.code == 2 and "the base has 1 duplicate keys" in got.issues
+    for bad in ("id,genre\n1,x\n", "id,title\n"):
+        (tmp_path / "bad.csv").write_text(bad)
+        assert enrich.run(spark, str(tmp_path / "bad.csv"), out, offers, contrast, str(tmp_path / "none.csv"), get).code == 1
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "x.parquet").write_text("no parquet")
+    assert clean.run(spark, str(tmp_path / "broken"), out).code == 1  # an error of Spark's own
+
+
 def test_command_line(spark, tmp_path):
     from millrace.plans.cli import main
 
