@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from millrace.plans import contracts as C
 from millrace.plans import enrich as enrichment
 from millrace.plans.clean import cleaned, squeeze_texts
 from millrace.problem_queries import TEXTS, table
+from millrace.session import scratch_root
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -161,9 +163,8 @@ union all select join_key, id, title from k where join_key = ''""")
 def most_recent_offer_per_title(spark: SparkSession, d: str) -> DataFrame:
     """The most recently published offer of each title; titles without key all stay."""
     keyed = table(spark, d, "gamerpower_offers").withColumn("join_key", canonical_key(F.col("title")))
-    text = lambda c, p: F.when(c.rlike(p), c)
     p = F.col("published_date")
-    at = F.coalesce(F.try_to_timestamp(text(p, r"\A[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z"), F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(text(p, r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.lit("yyyy-MM-dd")))
+    at = dedup.recency(p)
     return dedup.most_recent(keyed, "join_key", at, [F.col("id").asc_nulls_last(), F.col("title"), p.asc_nulls_last()]).select("join_key", "id", "title")
 
 
@@ -268,6 +269,30 @@ def outliers_iqr(spark: SparkSession, d: str) -> DataFrame:
     return outliers(table(spark, d, "lineitem"), _OUT)
 
 
+_FEW = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query(f"""
+with v as ({' union all '.join(f"select '{c}' as column_name, {c} as value from lineitem" for c in _FEW)}),
+b as (select column_name, quantile_disc(value, 0.25) as q1, quantile_disc(value, 0.75) as q3 from v group by 1),
+f as (select *, q3 - q1 as iqr, q1 - 1.5 * (q3 - q1) as low_fence, q3 + 1.5 * (q3 - q1) as high_fence from b)
+select f.column_name, q1, q3, iqr, low_fence, high_fence, count_if(value < low_fence or value > high_fence) as n_outliers from v join f on v.column_name = f.column_name group by all""")
+def outliers_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """By the sketch alone, over columns of few values, where it must hit the exact quartiles."""
+    return outliers(table(spark, d, "lineitem"), _FEW, approximate=True)
+
+
+_EXPECTED = [*C.CATALOGUE_FIELDS, "absent_field"]
+
+
+@query(f"""
+with found as (select column_name from information_schema.columns where table_name = 'games_sample'), expected as (select unnest({_EXPECTED!r}) as column_name)
+select column_name, 'missing' as finding from (from expected except from found) union all select column_name, 'extra' from (from found except from expected)""")
+def schema_differences(spark: SparkSession, d: str) -> DataFrame:
+    missing, extra = quality.schema_difference(table(spark, d, "games_sample"), _EXPECTED)
+    return spark.createDataFrame([(c, "missing") for c in missing] + [(c, "extra") for c in extra], "column_name string, finding string")
+
+
 @query(f"""
 with days as (select year({_DAY('release_date')}) as y from games_sample where {_DAY('release_date')} is not null),
 b as (select cast(quantile_disc(y, 0.25) as double) as q1, cast(quantile_disc(y, 0.75) as double) as q3 from days)
@@ -288,8 +313,11 @@ def clean_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return cleaned(catalogue(spark, d))
 
 
-@query(f"""
-select 0::bigint as duplicate_keys, 0::bigint as critical_nulls, true as id_typed, true as release_date_typed, count(*) - count(distinct id) = 0 as valid from {_CLEAN}""")
+_CHECKS = f"""c as (select * from {_CLEAN}), k as (select count(*) - count(distinct id) - max(cast(id is null as int)) as duplicate_keys, count_if(id is null) + count_if(title is null) as critical_nulls, count(*) as rows,
+any_value(typeof(id)) = 'INTEGER' as id_typed, any_value(typeof(release_date)) = 'DATE' as release_date_typed from c)"""
+
+
+@query(f"with {_CHECKS} select duplicate_keys, critical_nulls, id_typed, release_date_typed, duplicate_keys = 0 and critical_nulls = 0 and id_typed and release_date_typed as valid from k")
 def validate_final(spark: SparkSession, d: str) -> DataFrame:
     return quality.final_checks(clean_pipeline(spark, d), "id", list(C.CRITICAL), C.TYPES)
 
@@ -308,7 +336,11 @@ def quality_score_raw(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality_score(raw, raw, "id", list(C.CRITICAL), C.TYPES)
 
 
-@query("select 100.0::double as uniqueness, 100.0::double as completeness, 100.0::double as typing, 100.0::double as resolution, 100.0::double as score")
+@query(f"""
+with {_CHECKS}, was as (select sum(n - 1) + sum(({_NULLS}) * n) as found from (select {_CATALOGUE}, count(*) as n from games_sample group by all)),
+p as (select round(greatest(0, 1 - duplicate_keys / rows) * 100, 2) as uniqueness, round(greatest(0, 1 - critical_nulls / rows) * 100, 2) as completeness, (cast(id_typed as int) + cast(release_date_typed as int)) * 50.0::double as typing,
+case when found = 0 then 100.0 else round(greatest(0, 1 - (duplicate_keys + critical_nulls) / found) * 100, 2) end as resolution from k, was)
+select *, round((uniqueness + completeness + typing + resolution) / 4, 2) as score from p""")
 def quality_score(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality_score(catalogue(spark, d), clean_pipeline(spark, d), "id", list(C.CRITICAL), C.TYPES)
 
@@ -325,7 +357,7 @@ def _latest_load(spark: SparkSession, d: str) -> DataFrame:
 
 def _prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     none = spark.createDataFrame([], "title string, target_key string, seq bigint")
-    offers = enrichment.prepared(table(spark, d, "gamerpower_offers"), C.OFFER_COLUMNS, none, None)
+    offers = enrichment.prepared(table(spark, d, "gamerpower_offers"), C.OFFER_COLUMNS, none, "published_date")
     return offers, enrichment.prepared(table(spark, d, "mmobomb_games"), C.CONTRAST_COLUMNS, none, None)
 
 
@@ -337,7 +369,9 @@ def left_join_coverage(spark: SparkSession, d: str) -> DataFrame:
     return joins.coverage(joins.coverage_join(base, _prepared(spark, d)[1], C.JOIN_KEY), "id")
 
 
-_OFFERS1 = f"(select * from (select {_KEY('title')} as join_key, * from gamerpower_offers) where join_key <> '' qualify row_number() over (partition by join_key order by id nulls last, title) = 1)"
+_RECENCY = f"coalesce(try_strptime(case when regexp_full_match(published_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') then published_date end, '%Y-%m-%d %H:%M:%S'), cast({_DAY('published_date')} as timestamp)) desc nulls last, published_date desc nulls last"
+_OFFERS1 = f"(select * from (select {_KEY('title')} as join_key, * from gamerpower_offers) where join_key <> '' qualify row_number() over (partition by join_key order by {_RECENCY}, id nulls last, title) = 1)"
+
 
 
 @query(f"""
@@ -350,6 +384,39 @@ def two_source_enrichment(spark: SparkSession, d: str) -> DataFrame:
     return enrichment.enriched(_latest_load(spark, d), *_prepared(spark, d))
 
 
+_TARGET = "(select min(title) as target from games_sample where load_no = 6 and title is not null)"
+_OVERRIDDEN = f"(select case when title is not null and title in (select title from mmobomb_games where id % 20 = 0 and title <> '') then {_KEY('target')} else {_KEY('title')} end as join_key, m.* from mmobomb_games m, {_TARGET})"
+
+
+@query(f"""
+with b as (select *, {_KEY('title')} as title_match from {_LATEST6}),
+o as (select * from {_OVERRIDDEN} where join_key <> '' qualify row_number() over (partition by join_key order by id nulls last, title) = 1)
+select b.id, b.title_match, o.id as mmobomb_id, lower(trim(b.genre)) = lower(trim(o.genre)) as genre_match from b left join o on nullif(b.title_match, '') = o.join_key""")
+def enrichment_with_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """The last load enriched from the contrast catalogue by a mapping file that sends every twentieth record to one title."""
+    from millrace.sources.files import MAPPING_FIELDS, read_mapping
+    from millrace.sources.sinks import write_csv
+
+    contrast = table(spark, d, "mmobomb_games")
+    target = table(spark, d, "games_sample").where("load_no = 6").agg(F.min("title").alias("target_title"))
+    entries = contrast.where("id % 20 = 0 and title <> ''").select(F.col("title").alias("contrast_title"), F.lit("").alias("offers_title"), F.lit("manual").alias("method")).join(target, how="cross")  # one row
+    path = _local_scratch("mapping.csv")
+    write_csv(entries.select(*MAPPING_FIELDS), path)
+    source = enrichment.prepared(contrast, C.CONTRAST_COLUMNS, enrichment.overrides_for(read_mapping(spark, path), "contrast_title"), None)
+    base = _latest_load(spark, d).withColumn(C.JOIN_KEY, canonical_key(F.col("title")))
+    joined = joins.coverage_join(base, source, C.JOIN_KEY, "_contrast")
+    return compare.agreement_flags(joined, {"genre_match": ("genre", "mmobomb_genre")}).select("id", C.JOIN_KEY, "mmobomb_id", "genre_match")
+
+
+@query("""
+with j as (select o_orderkey, count(l_orderkey) as n from orders left join lineitem on o_orderkey = l_orderkey group by 1)
+select count(*) as base_rows, count_if(n > 0) as matched, count_if(n > 1) as ambiguous, count(*) - count_if(n > 0) as unmatched, cast(round(cast(count_if(n > 0) as decimal(20,0)) * 100 / count(*), 2) as double) as coverage_percent from j""")
+def coverage_of_ambiguous_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Orders joined with all their lines: coverage by order, and the orders that match more than one line."""
+    base = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("k"))
+    return joins.coverage(joins.coverage_join(base, table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("k")), "k"), "o_orderkey")
+
+
 @query("""select row_id, lower(trim(genre)) = lower(trim(mmobomb_genre)) as genre_agrees, lower(trim(platform)) = lower(trim(mmobomb_platform)) as platform_agrees,
 lower(trim(publisher)) = lower(trim(mmobomb_publisher)) as publisher_agrees, lower(trim(developer)) = lower(trim(mmobomb_developer)) as developer_agrees from enriched_games_sample""")
 def agreement_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -416,10 +483,10 @@ def audit_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with k as (select distinct o_orderkey from orders where o_orderkey % 7 = 3), t as (select o_orderkey from k order by 1 limit 30)
+with k as (select distinct o_orderkey from orders), t as (select o_orderkey from k order by 1 limit 30)
 select (select count(*) from k) as n, (select string_agg(cast(o_orderkey as varchar), ', ' order by o_orderkey) from t) || case when (select count(*) from k) > 30 then ' ... (' || cast((select count(*) from k) - 30 as varchar) || ' more)' else '' end as listing""")
 def id_list_truncated(spark: SparkSession, d: str) -> DataFrame:
-    return compare.listed_keys(table(spark, d, "orders").where("o_orderkey % 7 = 3"), "o_orderkey")
+    return compare.listed_keys(table(spark, d, "orders"), "o_orderkey")
 
 
 @query("select p_partkey, p_name, p_brand from (select * from part order by md5('42|' || cast(p_partkey as varchar)), p_partkey, p_name, p_brand limit 20) order by p_partkey")
@@ -427,71 +494,69 @@ def sample_seeded(spark: SparkSession, d: str) -> DataFrame:
     return seeded_sample(table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
 
 
-@query("select cast(n_nationkey as bigint) as id, n_name as title, cast(null as varchar) as genre from nation")
+@query("select id, title, genre from games_sample")
 def json_wrapper_unwrap(spark: SparkSession, d: str) -> DataFrame:
-    """A document that holds its records under a name, written from a table of 25 rows and read back by contract."""
+    """A document that holds its records under a name, written from all of the raw catalogue and read back by contract."""
     from millrace.sources.files import read_json_records
 
-    rows = [r.asDict() for r in table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title")).collect()]  # the 25 nations
-    schema = C.CATALOGUE
-    path = _scratch(spark, "nation.json")
-    import json
+    path = _local_scratch("games.json")
+    with open(path, "w", encoding="utf-8") as f:  # noqa: PTH123
+        for i, row in enumerate(table(spark, d, "games_sample").select("id", "title", "genre").toJSON().toLocalIterator()):
+            f.write(("," if i else '{"games": [') + row)
+        f.write("]}")
+    return read_json_records(spark, path, C.CATALOGUE, "games").select("id", "title", "genre")
 
-    path.write_text(json.dumps({"games": rows}), encoding="utf-8")
-    return read_json_records(spark, str(path), schema, "games").select("id", "title", "genre")
 
-
-@query("select r_regionkey, r_name from region")
+@query("select row_id, title, short_description from games_sample")
 def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """All of the raw catalogue as CSV in parts and back; empty texts, quotes and line ends stay."""
     from millrace.sources.files import read_csv
     from millrace.sources.sinks import write_csv
 
-    region = table(spark, d, "region").select("r_regionkey", "r_name")
-    path = str(_scratch(spark, "region.csv"))
-    write_csv(region, path)
-    return read_csv(spark, path, region.schema)
+    games = table(spark, d, "games_sample").select("row_id", "title", "short_description")
+    path = scratch(spark, "games.csv")
+    write_csv(games, path, single=False)
+    return read_csv(spark, path, games.schema)
 
 
-@query("select n_nationkey, n_name, n_regionkey from nation")
+@query("select row_id, id, title, release_date from games_sample")
 def sqlite_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     from millrace.sources.sqlite import read_sqlite, write_sqlite
 
-    nation = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    path = str(_scratch(spark, "nation.db"))
-    write_sqlite(nation, path, "nation", "n_nationkey")
-    return read_sqlite(spark, path, "nation", nation.schema)
+    games = table(spark, d, "games_sample").select("row_id", "id", "title", "release_date")
+    path = _local_scratch("games.db")
+    write_sqlite(games, path, "games", "row_id")
+    return read_sqlite(spark, path, "games", games.schema)
 
 
 @query("select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
 def snapshot_swap_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     from millrace.sources.sinks import read_snapshot, swap_snapshot
 
-    path = str(_scratch(spark, "supplier"))
+    path = scratch(spark, "supplier")
     swap_snapshot(table(spark, d, "supplier").limit(1), path)
     swap_snapshot(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), path)
     return read_snapshot(spark, path)
 
 
-@query("select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
+@query("select user_id, event_id, event_type from events where user_id is not null qualify row_number() over (partition by user_id order by ts desc nulls last, event_id desc) = 1")
 def streaming_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a stream, upserted by user: the last event of each stays."""
-    from millrace.sources.sinks import read_snapshot
-    from millrace.streaming.upserts import upsert_stream
-
-    names = ["user_id", "event_id", "event_type"]
-    folder = _scratch(spark, "stream")
-    events = table(spark, d, "events").select(*names)
-    events.write.parquet(str(folder / "in"))
-    stream = spark.readStream.schema(events.schema).parquet(str(folder / "in"))
-    done = upsert_stream(stream.withColumn("_seq", F.col("event_id")), str(folder / "table"), "user_id", [F.col("_seq").desc()], str(folder / "checkpoint"))
-    done.awaitTermination()
-    return read_snapshot(spark, str(folder / "table"))
-
-
-def _scratch(spark: SparkSession, name: str) -> Path:
-    """A fresh place in the cluster's shared folder, or where that is unset, in one of this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared.removeprefix("file://") if shared and "://" not in shared.removeprefix("file://") else None
-    if root:
-        Path(root).mkdir(parents=True, exist_ok=True)
-    return Path(tempfile.mkdtemp(prefix="millrace-", dir=root), name)
+    """The events as a stream of four micro-batches in an order that is not time's, upserted by user: the latest event of each stays."""
+    from millrace.streaming.upserts import read_upserted, upsert_stream
+
+    folder = scratch(spark, "stream")
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type", F.col("ts").alias("_ts"), F.col("event_id").alias("_event"))
+    events.repartition(4, "event_type", "event_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    upsert_stream(stream, f"{folder}/table", "user_id", ["_ts", "_event"], f"{folder}/checkpoint", parts=16).awaitTermination()
+    return read_upserted(spark, f"{folder}/table")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh place in the shared folder, on whatever file system it is."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _local_scratch(name: str) -> str:
+    """A fresh place on this machine, for formats of single files that the driver writes and reads."""
+    return str(Path(tempfile.mkdtemp(prefix="millrace-"), name))

@@ -104,6 +104,13 @@ far as (
   group by g.load_no, g.column_name, a.n, b.n having sum(abs(c1 * b.n - c0 * a.n)) * 5 >= a.n * b.n)
 select 'value' as check_name, load_no, column_name, row_id from long where bad
 union all select 'shift', load_no, column_name, cast(0 as bigint) from far"""
+_P5_SHIFTS_SQL = f"""
+{_P5_SQL[: _P5_SQL.index("far as (")].rstrip().rstrip(",")},
+sized as (select g.load_no, g.column_name, g.c1, g.c0, sum(c1) over (partition by g.load_no, g.column_name) as n1, sum(c0) over (partition by g.load_no, g.column_name) as n0 from gap g),
+share as (select *, greatest(c1, 0.5) / n1 as p, greatest(c0, 0.5) / n0 as q, (c1 + c0) * n1 / (n1 + n0) as e1, (c1 + c0) * n0 / (n1 + n0) as e0 from sized where n1 > 0 and n0 > 0)
+select load_no, column_name, cast(max(n1) as bigint) as n_now, cast(max(n0) as bigint) as n_before, round(sum(abs(c1 * n0 - c0 * n1)) / (2.0 * max(n1) * max(n0)), 6) as half_sum, round(sum((p - q) * ln(p / q)), 6) as psi,
+  round(sum((c1 - e1) ** 2 / e1 + (c0 - e0) ** 2 / e0), 6) as chi_square, count(*) - 1 as degrees
+from share group by load_no, column_name"""
 _P5_PROFILE_SQL = f"""
 with {_LONG_SQL},
 counts as (select load_no, column_name, value, bad, count(*) as n from long group by all)
@@ -148,4 +155,4 @@ select coalesce(n.load_no, o.load_no) as load_no, coalesce(n.id, o.id) as id,
 from new n full join old o on n.load_no = o.load_no and n.id = o.id
 where o.id is null or n.id is null or {" or ".join(f"n.{c} is distinct from o.{c}" for c in TEXTS)}"""
 
-ORACLES = {"p5_found": _P5_SQL, "p5_profile": _P5_PROFILE_SQL, "p6_found": _P6_SQL, "p7_found": _P7_SQL}
+ORACLES = {"p5_found": _P5_SQL, "p5_profile": _P5_PROFILE_SQL, "p5_shifts": _P5_SHIFTS_SQL, "p6_found": _P6_SQL, "p7_found": _P7_SQL}
