@@ -120,14 +120,14 @@ def _readings(value: str) -> Iterator[tuple[bool, str, str, list[tuple[int, int,
                 yield bracketed, quote, body, atoms, sorted({a[3] for a in atoms} - {""})
 
 
-def parses(value: str) -> dict[str, list[str]]:
+def parses(value: str, readings: list | None = None) -> dict[str, list[str]]:
     """Every dialect that reads ``value`` in its own way, by name, with the items it gives; finest first.
 
     Readings of more than ``ALL_SETS`` kinds of delimiters are left to ``best_of_many``.
     """
     out: dict[str, list[str]] = {}
     seen: set[tuple[str, ...]] = set()
-    for bracketed, quote, body, atoms, kinds in _readings(value):
+    for bracketed, quote, body, atoms, kinds in _readings(value) if readings is None else readings:
         for delimiters in _sets(kinds) if len(kinds) <= ALL_SETS else ():
             items = _merge(body, atoms, delimiters)
             if tuple(items) not in seen:
@@ -220,13 +220,14 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for number, value in zip(b["number"], b["value"], strict=True):
             known: set[str] = set()
-            for dialect, items in parses(value).items():
+            readings = list(_readings(value))
+            for dialect, items in parses(value, readings).items():
                 overhead = _overhead(len(dialect.split("\x00")) - 2, len(items))
                 for item, times in Counter(items or [""]).items():
                     rows.append((number, dialect, len(items), overhead, item, times, int(item not in known), spelling_bits(item)))
                     known.add(item)
-            many = [r for r in _readings(value) if len(r[4]) > ALL_SETS]
-            for item in set().union(*(possible_items(*r[2:]) for r in many), {""} if many else ()):
+            many = [r for r in readings if len(r[4]) > ALL_SETS]
+            for item in sorted(set().union(*(possible_items(*r[2:]) for r in many), {""})) if many else ():
                 rows.append((number, _MANY, 0, 0.0, item, 1, int(item not in known), spelling_bits(item)))
         yield pd.DataFrame(rows, columns=_CANDIDATES)
 
