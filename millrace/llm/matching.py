@@ -12,6 +12,8 @@ from millrace.session import cut
 
 #: Neighbours looked at on either side in each sorted order.
 WINDOW = 12
+#: Windows in a block of places: the more, the fewer entries move twice, and the more places are compared in vain.
+BLOCK = 4
 #: Edits allowed between two skeletons: this share of the longer one's length, and no more than so many.
 EDIT_SHARE, MOST_EDITS = 0.2, 4
 #: Edits allowed between the sorted letters of two skeletons, and the length from which swapped letters are told by them.
@@ -49,17 +51,20 @@ def neighbours(left: DataFrame, right: DataFrame, window: int = WINDOW) -> DataF
     Both sides have ``e`` (what identifies the entry, of one type on both sides) and ``orders``: an array of structs of
     ``must``, on which both of a pair agree, and ``text``, by which those of one ``must`` are sorted; a null has no place.
     All orders are laid behind one another and sorted once; equal texts are put in order by side and entry, so that
-    places do not depend on chance. Pairs meet by an equi-join on places cut into blocks of ``window``: every block holds
-    at most ``window`` rows, so no key can become hot, and no block is all pairs of a group.
+    places do not depend on chance. Pairs meet by an equi-join on places cut into blocks of ``BLOCK`` windows, entries near an
+    end standing in the next block too: every block holds few rows, so no key can become hot, and no block is all pairs
+    of a group.
     """
     def laid(df: DataFrame, side: int) -> DataFrame:
         return df.select(F.lit(side).alias("side"), "e", F.posexplode("orders").alias("k", "o")).where("o is not null").select("side", "e", "k", "o.must", "o.text")
 
     placed = _positions(laid(left, 0).unionByName(laid(right, 1)), ["k", "must", "text", "side", "e"])
-    block = F.floor(F.col("pos") / window)
-    a = placed.where("side = 0").select(F.col("e").alias("l"), F.col("pos").alias("p"), block.alias("b"), "k", F.col("must").alias("m"))
-    b = placed.where("side = 1").select(F.col("e").alias("r"), F.col("pos").alias("q"), F.explode(F.array(block - 1, block, block + 1)).alias("b"), F.col("k").alias("k2"), F.col("must").alias("m2"))
-    return a.join(b, "b").where((F.abs(F.col("p") - F.col("q")) <= window) & (F.col("k") == F.col("k2")) & (F.col("m") == F.col("m2"))).select("l", "r", "k")
+    wide = BLOCK * window
+    block, order, near = F.floor(F.col("pos") / wide), F.xxhash64("k", "must").alias("h"), F.pmod("pos", F.lit(wide))
+    beside = F.array_compact(F.array(block, F.when(near < window, block - 1), F.when(near >= wide - window, block + 1)))
+    a = placed.where("side = 0").select(F.col("e").alias("l"), F.col("pos").alias("p"), block.alias("b"), order, "k")
+    b = placed.where("side = 1").select(F.col("e").alias("r"), F.col("pos").alias("q"), F.explode(beside).alias("b"), order)
+    return a.join(b, ["b", "h"]).where(F.abs(F.col("p") - F.col("q")) <= window).select("l", "r", "k")
 
 
 def title_similarity(a: Column, b: Column) -> Column:
