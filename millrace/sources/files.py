@@ -51,8 +51,9 @@ def field_drift(spark: SparkSession, path: str, schema: StructType, wrapper: str
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A CSV file with header, quoted line ends and doubled quotes; empty cells are null, words such as NA are text."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).csv(path)
+    """CSV with header, quoted line ends and doubled quotes; empty cells are null, quoted empty ones are empty texts, words such as NA are text."""
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
+    return reader.option("nullValue", "\x00").option("emptyValue", "").csv(path)  # no cell holds the null character alone
 
 
 MAPPING_FIELDS = ("target_title", "offers_title", "contrast_title", "method")

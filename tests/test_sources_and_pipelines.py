@@ -48,7 +48,7 @@ def test_json_documents(spark, tmp_path):
 
 
 def test_csv_and_mapping(spark, tmp_path):
-    df = spark.createDataFrame([(1, 'a "q", b\nc'), (2, None), (3, "NA")], "id bigint, title string")
+    df = spark.createDataFrame([(1, 'a "q", b\nc'), (2, None), (3, "NA"), (4, ""), (5, " x ")], "id bigint, title string")
     sinks.write_csv(df, str(tmp_path / "x" / "a.csv"))
     assert sorted(map(tuple, files.read_csv(spark, str(tmp_path / "x" / "a.csv"), df.schema).collect())) == sorted(map(tuple, df.collect()))
     assert files.read_mapping(spark, str(tmp_path / "none.csv")).count() == 0
