@@ -39,20 +39,20 @@ BY_MAKER = 4
 
 
 def _laid_forms(titles: DataFrame) -> DataFrame:
-    """``e`` (``skeleton``, ``marker``) and ``orders``: each distinct form once forwards and backwards, by its longest words, and by company and day.
+    """``orders``: each distinct form once forwards and backwards, by its longest words, and by company and day.
 
     A pair agrees on its mark of sequel or reissue, and in the last two orders on the company's first word or the day.
     However many games or records share a form, they take one place in an order, and equal forms stand side by side.
     """
-    form, none = F.struct(*FORM).alias("e"), F.lit(None).cast("struct<must:string,text:string>")
+    none = F.lit(None).cast("struct<must:string,text:string>")
     at = lambda must, text: F.struct(must.alias("must"), text.alias("text"))
     s, mark = F.col("skeleton"), F.col("marker")
-    once = titles.select(*FORM).distinct().select(form, F.array(at(mark, s), at(mark, F.reverse(s))).alias("orders"))
+    once = titles.select(*FORM).distinct().select(F.array(at(mark, s), at(mark, F.reverse(s))).alias("orders"))
     words = titles.where(F.size("tokens") > 0).select(*FORM, "tokens").distinct()
-    by_word = words.select(form, F.concat(F.array(none, none), F.transform("tokens", lambda t: at(mark, F.concat(t, F.lit("/"), s)))).alias("orders"))
+    by_word = words.select(F.concat(F.array(none, none), F.transform("tokens", lambda t: at(mark, F.concat(t, F.lit("/"), s)))).alias("orders"))
     made = titles.select(*FORM, _first_word(F.coalesce("developer", "publisher")).alias("by"), "day").where("by is not null and day is not null").distinct()
     joined = lambda *c: F.concat_ws("/", *c)
-    by_maker = made.select(form, F.array(*[none] * BY_MAKER, at(joined("marker", "by"), joined("day", "skeleton")), at(joined("marker", "day"), joined("by", "skeleton"))).alias("orders"))
+    by_maker = made.select(F.array(*[none] * BY_MAKER, at(joined("marker", "by"), joined("day", "skeleton")), at(joined("marker", "day"), joined("by", "skeleton"))).alias("orders"))
     return once.unionByName(by_word).unionByName(by_maker)
 
 
@@ -92,15 +92,16 @@ def near_forms(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     Both have ``skeleton``, ``marker``, ``tokens``, ``publisher``, ``developer`` and ``day``. A pair's sequel or reissue
     marks are the same. ``damaged`` ones are less alike than slips explain, and need a day and company that agree.
     """
-    a, b = F.col("l.skeleton"), F.col("r.skeleton")
-    by_maker = F.col("k") >= BY_MAKER
+    met = neighbours(_laid_forms(ours), _laid_forms(theirs))
+    # forms hold no "/", so they are what stands behind the last, or before the first
+    form = lambda c: F.when(F.col("k") == 1, F.reverse(c)).otherwise(F.substring_index(c, "/", -1))
+    met = met.select(F.substring_index("must", "/", 1).alias("marker"), form("l").alias("skeleton"), form("r").alias("_skeleton"), (F.col("k") >= BY_MAKER).alias("by_maker"))
+    a, b = F.col("skeleton"), F.col("_skeleton")
     close = (F.abs(F.length(a) - F.length(b)) <= MOST_EDITS) & (F.levenshtein(a, b, MOST_EDITS) >= 0)
-    met = neighbours(_laid_forms(ours), _laid_forms(theirs)).where(by_maker | close)  # most pairs end here, before they move
-    near = met.groupBy("l", "r").agg(F.max(by_maker).alias("by_maker"))
+    met = met.where(F.col("by_maker") | close)  # most pairs end here, before they move
+    near = met.groupBy("skeleton", "marker", "_skeleton").agg(F.max("by_maker").alias("by_maker"))
     slips = F.when(close, title_similarity(a, b))
-    near = near.select(
-        a.alias("skeleton"), F.col("l.marker").alias("marker"), b.alias("_skeleton"), F.coalesce(slips, F.when(F.col("by_maker"), damaged_similarity(a, b))).alias("title"), slips.isNull().alias("damaged")
-    )
+    near = near.select("skeleton", "marker", "_skeleton", F.coalesce(slips, F.when(F.col("by_maker"), damaged_similarity(a, b))).alias("title"), slips.isNull().alias("damaged"))
     return cut(near.where("title is not null"))
 
 

@@ -46,25 +46,24 @@ def _positions(entries: DataFrame, order: list[str]) -> DataFrame:
 
 
 def neighbours(left: DataFrame, right: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Pairs of entries that stand within ``window`` places of each other in some order: ``l``, ``r`` (each side's struct) and ``k``, the order.
-
-    Both sides have ``e`` (what identifies the entry, of one type on both sides) and ``orders``: an array of structs of
-    ``must``, on which both of a pair agree, and ``text``, by which those of one ``must`` are sorted; a null has no place.
-    All orders are laid behind one another and sorted once; equal texts are put in order by side and entry, so that
-    places do not depend on chance. Pairs meet by an equi-join on places cut into blocks of ``BLOCK`` windows, entries near an
-    end standing in the next block too: every block holds few rows, so no key can become hot, and no block is all pairs
-    of a group.
+    """Pairs of texts that stand within ``window`` places of each other in some order: ``k`` (the order), ``must``, ``l``, ``r``.
+
+    Both sides have ``orders``: an array of structs of ``must``, on which both of a pair agree, and ``text``, by which
+    those of one ``must`` are sorted and which says what the entry is; a null has no place. All orders are laid behind one
+    another and sorted once; equal texts are put in order by side, so that places do not depend on chance. Pairs meet by
+    an equi-join on places cut into blocks of ``BLOCK`` windows, entries near an end standing in the next block too:
+    every block holds few rows, so no key can become hot, and no block is all pairs of a group.
     """
     def laid(df: DataFrame, side: int) -> DataFrame:
-        return df.select(F.lit(side).alias("side"), "e", F.posexplode("orders").alias("k", "o")).where("o is not null").select("side", "e", "k", "o.must", "o.text")
+        return df.select(F.lit(side).alias("side"), F.posexplode("orders").alias("k", "o")).where("o is not null").select("side", "k", "o.must", "o.text")
 
-    placed = _positions(laid(left, 0).unionByName(laid(right, 1)), ["k", "must", "text", "side", "e"])
+    placed = _positions(laid(left, 0).unionByName(laid(right, 1)), ["k", "must", "text", "side"])
     wide = BLOCK * window
     block, order, near = F.floor(F.col("pos") / wide), F.xxhash64("k", "must").alias("h"), F.pmod("pos", F.lit(wide))
     beside = F.array_compact(F.array(block, F.when(near < window, block - 1), F.when(near >= wide - window, block + 1)))
-    a = placed.where("side = 0").select(F.col("e").alias("l"), F.col("pos").alias("p"), block.alias("b"), order, "k")
-    b = placed.where("side = 1").select(F.col("e").alias("r"), F.col("pos").alias("q"), F.explode(beside).alias("b"), order)
-    return a.join(b, ["b", "h"]).where(F.abs(F.col("p") - F.col("q")) <= window).select("l", "r", "k")
+    a = placed.where("side = 0").select("k", "must", F.col("text").alias("l"), F.col("pos").alias("p"), block.alias("b"), order)
+    b = placed.where("side = 1").select(F.col("text").alias("r"), F.col("pos").alias("q"), F.explode(beside).alias("b"), order)
+    return a.join(b, ["b", "h"]).where(F.abs(F.col("p") - F.col("q")) <= window).select("k", "must", "l", "r")
 
 
 def title_similarity(a: Column, b: Column) -> Column:
