@@ -21,6 +21,8 @@ from millrace.session import cut
 DELIMITERS = (",", ";", "|", "/", "&", "+", "·", "•", "、", "，", "；", "\n", "\r\n", "\r", "\t", " and ")
 #: A value spelled for the first time costs this much a character, and more for each delimiter or quote read as text.
 CHAR_BITS, LITERAL_BITS = 5.0, 32.0
+#: A text that holds delimiters is no name if each of its parts is offered as one more than this many times as often.
+APART = 2
 #: Up to this number of kinds of delimiters all their sets are written out as candidates; of more, the best set is searched for.
 ALL_SETS = 6
 
@@ -210,6 +212,18 @@ def _names(value: pd.Series, dialect: pd.Series) -> pd.Series:
     return pd.Series([[x for x in parse(v, d) if not stands_for_missing(x)] for v, d in zip(value, dialect, strict=True)])
 
 
+@F.pandas_udf(StructType([StructField("parts", ArrayType(StringType())), StructField("overhead", DoubleType())]))
+def _parted(item: pd.Series) -> pd.DataFrame:
+    """The items of the finest parse of an item, and what its separators cost."""
+    found = []
+    for x in item:
+        atoms = _atoms(x, "")
+        kinds = frozenset(a[3] for a in atoms) - {""}
+        parts = _merge(x, atoms, kinds)
+        found.append((parts, _overhead(len(kinds), len(parts))))
+    return pd.DataFrame(found, columns=["parts", "overhead"])
+
+
 #: Stands for the dialect of items of values that ``best_of_many`` reads.
 _MANY = "\x01"
 _CANDIDATES = ["number", "dialect", "n_items", "overhead", "item", "times", "first", "spelling"]
@@ -238,12 +252,33 @@ def _searched(value: pd.Series, items: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["dialect", "bits", "n_items"])
 
 
+def code_lengths(codes: DataFrame, total: int) -> DataFrame:
+    """``item`` and its ``code_bits``, of items with ``n``, the values that offer them, and ``spelling``, of ``total`` offers.
+
+    The more values there are, the less the spelling of a common list of names costs each, until the list is cheaper than
+    its names. So an item all of whose parts are names without it (``APART``) costs no less than these and their separators.
+    What one value alone offers is spelled out by that value, which always costs more.
+    """
+    bits = codes.select("item", "n", (F.lit(math.log2(total)) - F.log2("n") + F.col("spelling") / F.col("n")).alias("code_bits"))
+    lists = bits.where((F.col("n") > 1) & F.col("item").rlike(CANDIDATE)).withColumn("s", _parted("item")).where(F.size("s.parts") > 1)
+    parts = cut(lists.select(F.col("item").alias("whole"), F.col("n").alias("together"), F.size("s.parts").alias("size"), "s.overhead", F.explode("s.parts").alias("item")))
+    counts = cut(parts.groupBy("item").agg(F.count("*").alias("uses")))
+    uses = max(1, counts.agg(F.sum("uses").alias("n")).first()["n"] or 0)
+    known = join_large_small(parts, bits, "item", counts, "uses", uses)
+    apart = known.groupBy(F.col("whole").alias("item")).agg(
+        (F.sum("code_bits") + F.first("overhead")).alias("least_bits"),
+        ((F.count("*") == F.first("size")) & (F.min("n") > APART * F.first("together"))).alias("apart"),
+    )
+    return bits.join(apart.where("apart"), "item", "left").select("item", F.greatest("code_bits", "least_bits").alias("code_bits"))
+
+
 def choose_dialects(values: DataFrame) -> DataFrame:
     """For distinct ``value``, each with a ``number`` of its own, the ``dialect`` of least description length: ``number``, ``dialect``, ``bits``.
 
     An item's code length is -log2 of its share among the items that the parses of all values offer, each
-    value counting once, and its spelling shared among the values that use it. Both are counted over all
-    values in one pre-aggregated shuffle. Equal lengths go to the parse of more items.
+    value counting once, and its spelling shared among the values that use it; a list of names costs no less than
+    its names (``code_lengths``). Both are counted over all values in one pre-aggregated shuffle. Equal lengths go
+    to the parse of more items.
     """
     schema = "number bigint, dialect string, n_items int, overhead double, item string, times int, first int, spelling double"
     # few bytes and much work: spread over all cores, and written once for the counts and the scores
@@ -251,8 +286,7 @@ def choose_dialects(values: DataFrame) -> DataFrame:
     cand = cut(spread.mapInPandas(_candidates, schema))
     codes = cut(cand.groupBy("item").agg(F.sum("first").alias("n"), F.first("spelling").alias("spelling")))
     total = max(1, codes.agg(F.sum("n").alias("n")).first()["n"] or 0)
-    bits = codes.select("item", (F.lit(math.log2(total)) - F.log2("n") + F.col("spelling") / F.col("n")).alias("code_bits"))
-    coded = join_large_small(cand.drop("spelling", "first"), bits, "item", codes, "n", total)
+    coded = join_large_small(cand.drop("spelling", "first"), cut(code_lengths(codes, total)), "item", codes, "n", total)
     many = F.col("dialect") == _MANY
     scored = coded.where(~many).groupBy("number", "dialect").agg((F.sum(F.col("code_bits") * F.col("times")) + F.first("overhead")).alias("bits"), F.first("n_items").alias("n_items"))
     if not cand.where(many).isEmpty():

@@ -1,6 +1,7 @@
 """The core's problems against brute force, and at their edges."""
 
 import datetime
+import itertools
 import json
 import random
 import re
@@ -60,6 +61,16 @@ def test_a_name_that_holds_a_delimiter_stays_whole(spark, rows):
     assert (0, "p", 1, "Dungeons & Dragons") in got and len(got) == 18
 
 
+def test_a_common_list_of_names_is_no_name(spark, rows):
+    """The spelling of a list that many texts hold costs each of them little; still its names are names without it."""
+    texts = [f"{' ' * i}PC (Windows), Steam{' ' * j}" for i in range(5) for j in range(5)]
+    others = [f"{a}{d}{b}" for a, b in itertools.permutations(["PC (Windows)", "Steam", "iOS", "GOG", "VR", "Mac", "Linux"], 2) for d in (";", " | ", "/", ", ") if (a, b) != ("PC (Windows)", "Steam")]
+    data = [(i, x) for i, x in enumerate(texts + others + [f"Handheld & Dock; {x}" for x in ("PC (Windows)", "Steam", "iOS", "GOG", "VR", "Mac")])]
+    got = rows(packed.split_packed(spark.createDataFrame(data, "row_id int, p string"), "row_id", ["p"]))
+    assert [t[2:] for t in got if t[0] < len(texts)] == [(1, "PC (Windows)"), (2, "Steam")] * len(texts)
+    assert [t[3] for t in got if t[0] >= len(data) - 6 and t[2] == 1] == ["Handheld & Dock"] * 6 and len(got) == 2 * len(data)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab,;|/&\"'()[] \n\\", max_size=30))
 def test_every_parse_can_be_repeated(text):
